@@ -26,3 +26,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through the Hadoop file system it belongs to; a missing path is no error."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialise(df, name: str):
+    """The frame written once to the shared folder and read from there: cuts the lineage, and a lost executor loses nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
