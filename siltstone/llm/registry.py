@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, lookalike, packing, seen
+from siltstone.llm import bpe, handwritten, lookalike, packing, seen
 from siltstone.sources.lake import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,9 +16,15 @@ def _store(s: SparkSession, d: str) -> seen.KeyStore:
     return seen.ingest(table(s, d, "file_metadata"), table(s, d, "hash_index"))
 
 
+def _marks(s: SparkSession, d: str) -> DataFrame:
+    return handwritten.marks(table(s, d, "file_metadata"), table(s, d, "contents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: seen.seen_rows(table(s, d, "file_metadata"), _store(s, d)),
     "p1_report": lambda s, d: seen.report(_store(s, d)),
+    "p5_found": lambda s, d: handwritten.not_handwritten(_marks(s, d)),
+    "p5_marks": _marks,
     "p8_ids": lambda s, d: bpe.encode(table(s, d, "documents"), "doc_id", "text"),
     "p8_round_trip": lambda s, d: bpe.decode(bpe.encode(table(s, d, "documents"), "doc_id", "text"), "doc_id", "ids"),
     "p9_containers": lambda s, d: packing.document_containers(table(s, d, "documents")),
