@@ -39,7 +39,7 @@ TOOL_HEADER = re.compile(
 LOCK = re.compile(r'"lockfileVersion"\s*:|^# (?:yarn|poetry) lock|\A\{\s*"_meta"\s*:\s*\{\s*"hash"', re.M)
 INTEGRITY = re.compile(r'"(?:integrity|resolved)"\s*:\s*"')
 BANNER = re.compile(
-    r"\A(?:#!.*\n)?﻿?\s*(?:/\*[*!]?|//+|#)\s*(?:\*\s*)?([A-Za-z@][\w.@/-]*?)(?:\.js|\.py)?(?:,? -)? (?:(?:release|version) v?\d+(?:\.\d+)+,? .*?\bupstream\b"
+    r"\A(?:#!.*\n)?\ufeff?\s*(?:/\*[*!]?|//+|#)\s*(?:\*\s*)?([A-Za-z@][\w.@/-]*?)(?:\.js|\.py)?(?:,? -)? (?:(?:release|version) v?\d+(?:\.\d+)+,? .*?\bupstream\b"
     r"|v\d+(?:\.\d+)+\S* ?\|.{0,40}(?:free|licen[sc]e|shared|https?:)|v?\d+(?:\.\d+)+ - \(c\) )"
 )
 HEAD_CHARS = 1500
@@ -69,7 +69,7 @@ def judge(text: str) -> tuple[str, str]:
     if TOOL_HEADER.search(comments) or "sourceMappingURL=" in text[-300:]:
         return "generated", package
     n = len(text)
-    if n < 60 or text.count("�") + text.count("\0") > n / 20:
+    if n < 60 or text.count("\ufffd") + text.count("\0") > n / 20:
         return "", package
     if sum(len(d) for d in _DATA.findall(text)) > 0.5 * n:
         return "data", package

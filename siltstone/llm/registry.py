@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, handwritten, lookalike, packing, seen, syntax
+from siltstone.llm import bpe, handwritten, lookalike, packing, seen, spans, syntax
 from siltstone.sources.lake import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,8 @@ def _marks(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: seen.seen_rows(table(s, d, "file_metadata"), _store(s, d)),
     "p1_report": lambda s, d: seen.report(_store(s, d)),
+    "p2_found": lambda s, d: spans.shared_spans(table(s, d, "contents")),
+    "p2_amounts": lambda s, d: spans.shared_amounts(table(s, d, "contents")),
     "p4_found": lambda s, d: syntax.invalid_revisions(table(s, d, "file_metadata"), table(s, d, "contents")),
     "p4_rates": lambda s, d: syntax.rates(table(s, d, "file_metadata"), table(s, d, "contents")),
     "p4_errors": lambda s, d: syntax.parse_contents(table(s, d, "file_metadata"), table(s, d, "contents")),
