@@ -29,13 +29,12 @@ def version_of(df: DataFrame) -> str:
 
 
 def sticky_checkpoint(df: DataFrame, name: str, versioned: bool = True) -> DataFrame:
-    """Write the frame once to ``_sticky/<name>`` beside the checkpoint folder and read it from there ever after.
+    """Write the frame once to ``_sticky/<name>`` in the shared folder and read it from there ever after.
 
     A directory without ``_SUCCESS`` is a write that broke off and is written anew. ``versioned`` adds a key of plan and
     inputs to the name, so that changed inputs or logic are not answered by an old result; without it the name alone counts."""
     spark = df.sparkSession
-    base = shared_dir(spark).rsplit("/", 1)[0]
-    path = f"{base}/_sticky/{name}" + (f"-{version_of(df)}" if versioned else "")
+    path = f"{shared_dir(spark)}/_sticky/{name}" + (f"-{version_of(df)}" if versioned else "")
     if not _complete(spark, path):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)

@@ -14,21 +14,29 @@ from siltstone.sources.lake import file_metadata, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _data(s: SparkSession, d: str) -> DataFrame:
+def _fresh(s: SparkSession, d: str) -> DataFrame:
     return history.all_data(file_metadata(s, d))
 
 
+def _data(s: SparkSession, d: str) -> DataFrame:
+    """The enriched revisions, which all queries share: written once for each version of the inputs."""
+    return C.sticky_checkpoint(_fresh(s, d), "all_data")
+
+
+def _examples(s: SparkSession, d: str) -> DataFrame:
+    return C.sticky_checkpoint(imports.copy_as_import_examples(_data(s, d)), "copy_as_import_examples")
+
+
 def _on_data(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda s, d: f(_data(s, d))
 
 
 def _on_examples(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda s, d: f(imports.copy_as_import_examples(_data(s, d)))
+    return lambda s, d: f(_examples(s, d))
 
 
 def _unidentified(s: SparkSession, d: str) -> DataFrame:
-    data = _data(s, d)
-    return imports.unidentified_node_copies(data, imports.copy_as_import_examples(data))
+    return imports.unidentified_node_copies(_data(s, d), _examples(s, d))
 
 
 def _git_repos(s: SparkSession, d: str) -> DataFrame:
@@ -55,7 +63,7 @@ def _keys(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "q01_all_data": _data,
+    "q01_all_data": _fresh,
     "q02_orig": _on_data(history.orig),
     "q03_copy": _on_data(history.copy),
     "q04_head_copy": _on_data(history.head_copy),
@@ -66,7 +74,7 @@ QUERIES: dict[str, Query] = {
     "q09_active_repo_obsolete_copy_count": _on_data(counts.active_repo_obsolete_copy_count),
     "q10_ranked_orig_folder_hash": lambda s, d: fingerprint.ranked_orig_folder_hash(_data(s, d)).drop("sum_hash_crc", "sum_name_crc"),
     "q11_copy_folder_hash": lambda s, d: fingerprint.copy_folder_hash(_data(s, d)).drop("sum_hash_crc", "sum_name_crc"),
-    "q12_copy_as_import_examples": lambda s, d: imports.copy_as_import_examples(_data(s, d)).drop("sum_hash_crc", "sum_name_crc"),
+    "q12_copy_as_import_examples": lambda s, d: _examples(s, d).drop("sum_hash_crc", "sum_name_crc"),
     "q13_copy_as_import_count": _on_examples(imports.copy_as_import_count),
     "q14_popular_other_folders": _on_examples(lambda e: imports.popular_other_folders(e, 5)),
     "q15_unidentified_node_copies": _unidentified,

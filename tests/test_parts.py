@@ -63,7 +63,7 @@ def test_sticky_checkpoint(spark):
 def test_sticky_checkpoint_broken_off(spark):
     from siltstone.session import shared_dir
 
-    path = shared_dir(spark).rsplit("/", 1)[0].removeprefix("file://") + "/_sticky/c"
+    path = shared_dir(spark).removeprefix("file://") + "/_sticky/c"
     os.makedirs(path)
     open(f"{path}/part-0", "w").close()
     assert C.sticky_checkpoint(spark.range(2), "c", versioned=False).count() == 2
