@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +29,17 @@ def version_of(df: DataFrame) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:20]
 
 
-def sticky_checkpoint(df: DataFrame, name: str, versioned: bool = True) -> DataFrame:
+def sticky_checkpoint(df: DataFrame | Callable[[], DataFrame], name: str, versioned: bool = True, source: DataFrame | None = None) -> DataFrame:
     """Write the frame once to ``_sticky/<name>`` in the shared folder and read it from there ever after.
 
     A directory without ``_SUCCESS`` is a write that broke off and is written anew. ``versioned`` adds a key of plan and
-    inputs to the name, so that changed inputs or logic are not answered by an old result; without it the name alone counts."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/_sticky/{name}" + (f"-{version_of(df)}" if versioned else "")
+    inputs to the name, so that changed inputs or logic are not answered by an old result; without it the name alone counts.
+    ``source`` is the frame whose key counts where the frame itself reads tables of its own making; the frame may then be given
+    as a function, called only if it is to be written."""
+    spark = (source or df).sparkSession
+    path = f"{shared_dir(spark)}/_sticky/{name}" + (f"-{version_of(source or df)}" if versioned else "")
     if not _complete(spark, path):
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        (df() if callable(df) else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

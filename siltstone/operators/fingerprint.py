@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.paths import file_name, parent_folder
 from siltstone.operators import history as H
+from siltstone.operators import scan
+from siltstone.session import materialise
 
 SUMS = ("sum_hash_crc", "sum_name_crc", "n_files")
 
@@ -27,10 +29,10 @@ def folder_deltas(revisions: DataFrame) -> DataFrame:
     """What each (repository, time, folder) adds to the three sums. A path added again after a deletion counts as added;
     a second deletion in a row changes nothing. A path's revisions are ordered by COMMIT_TIME, then hash."""
     c = F.col
-    prev = F.lag("_crc").over(Window.partitionBy(*H.PATH).orderBy("COMMIT_TIME", "HASH_CODE"))
+    # written once, as the scan reads it for the rows and for the blocks
+    blocks = materialise(revisions.select(*H.BASE, F.crc32("HASH_CODE").alias("_crc"), scan.time_block("COMMIT_TIME").alias("_block")), "revisions")
     rows = (
-        revisions.withColumn("_crc", F.crc32("HASH_CODE"))
-        .withColumn("_prev", prev)
+        scan.previous(blocks, H.PATH, ("COMMIT_TIME", "HASH_CODE"), "_crc", "_prev")
         .select(
             "REPO_OWNER",
             "REPOSITORY",
@@ -46,24 +48,22 @@ def folder_deltas(revisions: DataFrame) -> DataFrame:
     )
 
 
-def ranked_orig_folder_hash(data: DataFrame) -> DataFrame:
+def ranked_orig_folder_hash(data: DataFrame, max_rank: int | None = None) -> DataFrame:
     """Distinct states of folders with at least one file, at the first time each held, ranked among all folders with the
-    same state by time, owner, repository and folder."""
-    state = Window.partitionBy("REPO_OWNER", "REPOSITORY", "FOLDER").orderBy("COMMIT_TIME").rowsBetween(Window.unboundedPreceding, 0)
-    states = folder_deltas(candidates(data)).select(
-        F.col("REPO_OWNER").alias("O_REPO_OWNER"),
-        F.col("REPOSITORY").alias("O_REPOSITORY"),
-        F.col("COMMIT_TIME").alias("O_COMMIT_TIME"),
-        F.col("FOLDER").alias("O_FOLDER"),
-        *[F.sum(d).over(state).alias(s) for d, s in zip(("_dh", "_dn", "_df"), SUMS)],
-    )
-    rank = Window.partitionBy(*SUMS).orderBy("O_COMMIT_TIME", "O_REPO_OWNER", "O_REPOSITORY", "O_FOLDER")
-    return (
-        states.filter("n_files > 0")
-        .groupBy("O_REPO_OWNER", "O_REPOSITORY", "O_FOLDER", *SUMS)
-        .agg(F.min("O_COMMIT_TIME").alias("O_COMMIT_TIME"))
-        .withColumn("ROW_NUM", F.row_number().over(rank))
+    same state by time, owner, repository and folder. With ``max_rank`` only states up to that rank, which the planner then
+    picks before the shuffle; without it a state of any number of folders is ranked in blocks."""
+    deltas = materialise(folder_deltas(candidates(data)).withColumn("_block", scan.time_block("COMMIT_TIME")), "deltas")
+    states = (
+        scan.running(deltas, ("REPO_OWNER", "REPOSITORY", "FOLDER"), ("COMMIT_TIME",), dict(zip(SUMS, ("_dh", "_dn", "_df"))))
+        .filter("n_files > 0")
+        .groupBy(*[F.col(c).alias(f"O_{c}") for c in ("REPO_OWNER", "REPOSITORY", "FOLDER")], *SUMS)
+        .agg(F.min("COMMIT_TIME").alias("O_COMMIT_TIME"))
     )
+    order = ("O_COMMIT_TIME", "O_REPO_OWNER", "O_REPOSITORY", "O_FOLDER")
+    if max_rank is None:
+        return scan.ranked(scan.range_block(states, SUMS, order), SUMS, order, "ROW_NUM").drop("_block")
+    rank = F.row_number().over(Window.partitionBy(*SUMS).orderBy(*order))
+    return states.withColumn("ROW_NUM", rank).filter(F.col("ROW_NUM") <= max_rank)
 
 
 def copy_folder_hash(data: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def match_imports(copies: DataFrame, origins: DataFrame, max_rank: int = RANKS)
 
 def copy_as_import_examples(data: DataFrame, max_rank: int = RANKS) -> DataFrame:
     """``match_imports`` over the folders of a lake."""
-    return match_imports(P.copy_folder_hash(data), P.ranked_orig_folder_hash(data), max_rank)
+    return match_imports(P.copy_folder_hash(data), P.ranked_orig_folder_hash(data, max_rank), max_rank)
 
 
 def copy_as_import_count(examples: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def _data(s: SparkSession, d: str) -> DataFrame:
 
 
 def _examples(s: SparkSession, d: str) -> DataFrame:
-    return C.sticky_checkpoint(imports.copy_as_import_examples(_data(s, d)), "copy_as_import_examples")
+    data = _data(s, d)
+    return C.sticky_checkpoint(lambda: imports.copy_as_import_examples(data), "copy_as_import_examples", source=data)
 
 
 def _on_data(f: Callable[[DataFrame], DataFrame]) -> Query:

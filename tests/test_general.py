@@ -117,3 +117,23 @@ def test_state_follows_deltas(spark):
 def test_orphans_of_nothing(spark):
     fm, cm, ct = (t.limit(0) for t in tables(spark))
     assert orphans.orphan_keys(orphans.reference_state(fm, cm, ct)).count() == 0
+
+
+@pytest.mark.parametrize("by_time", [True, False])
+def test_scans_over_blocks_like_plain_windows(spark, by_time):
+    from pyspark.sql import Window
+
+    from siltstone.operators import scan
+
+    r = random.Random(1)
+    data = [(r.choice(["hot", "hot", "hot", "a", None]), i, r.randrange(1 << 24), r.choice([None, 1, 2, 3])) for i in range(2000)]
+    df = spark.createDataFrame(data, "k string, i long, t long, v long")
+    cut = df.withColumn("_block", scan.time_block("t")) if by_time else scan.range_block(df, ["k"], ["t", "i"])
+    w = Window.partitionBy("k").orderBy("t", "i")
+    want = df.select("k", "i", F.lag("v").over(w), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(w))
+    a = scan.previous(cut, ["k"], ["t", "i"], "v", "p")
+    b = scan.running(cut.withColumn("v", F.coalesce("v", F.lit(0))), ["k"], ["t", "i"], {"s": "v"})
+    c = scan.ranked(cut, ["k"], ["t", "i"], "n")
+    assert rows(a, "i", "p") == sorted(((x[1], x[2]) for x in want.collect()), key=repr)
+    assert {x[0]: x[1] for x in rows(b, "i", "s")} == {x[1]: x[3] or 0 for x in want.collect()}
+    assert rows(c, "i", "n") == sorted(((x[1], x[4]) for x in want.collect()), key=repr)
