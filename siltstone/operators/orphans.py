@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.hexes import hex_id
+from siltstone.operators.skew import salted_semi_join
 
 #: (target table, its key, the referring column, whether a null reference is one to nothing and so an orphan)
 TARGETS = (("commit_messages", "commit_id", "commit_id", True), ("contents", "hash_code", "hash_code", False))
-SALTS = 16
 
 
 def references(file_metadata: DataFrame) -> DataFrame:
@@ -63,11 +63,8 @@ def reference_state(file_metadata: DataFrame, commit_messages: DataFrame, conten
 
 
 def orphan_rows(refs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """The referring rows of orphan keys. A key may be referred to by a large part of all rows: the few orphan keys are
-    repeated once per salt and each key's rows are spread over the salts."""
-    keys = orphans.select("target_table", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = refs.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(keys, ["target_table", "key", "_salt"], "left_semi").drop("_salt")
+    """The referring rows of orphan keys, of which one may be referred to by a large part of all rows."""
+    return salted_semi_join(refs, orphans, ["target_table", "key"], ["row_id"])
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.hexes import hex_id
 
 HEAVY_SHARE = 0.05
+SALTS = 16
 STATE = "field_name string, key_value string, first_at long, last_at long, n_rows long, longest_gap long"
 _ARROW = pa.schema([("field_name", pa.string()), ("key_value", pa.string()), *[(c, pa.int64()) for c in ("first_at", "last_at", "n_rows", "longest_gap")]])
 
@@ -94,3 +95,12 @@ def heavy_keys(results: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     """The keys that hold at least ``share`` of their field's rows. The totals are a few rows, one per field."""
     totals = results.groupBy("field_name").agg(F.sum("n_rows").alias("_total"))
     return results.join(F.broadcast(totals), "field_name").filter(F.col("n_rows") >= share * F.col("_total")).drop("_total")
+
+
+def salted_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: list[str], salts: int = SALTS) -> DataFrame:
+    """The rows whose ``on`` columns occur in ``keys``. Each key, which should be few or narrow, is repeated once per salt, and the
+    rows of a key are spread over the salts by a hash of their ``spread`` columns, so that no key's rows meet in one task. Null
+    keys match nothing."""
+    repeated = keys.select(*on).distinct().select(*on, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    return salted.join(repeated, [*on, "_salt"], "left_semi").select(*rows.columns)
