@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-KEPT_PIECES = 300_000
+KEPT_PIECES, KEPT_CHARS = 300_000, 64  # pieces whose ids a task keeps, and the longest of them
+ROWS = 1_000  # texts encoded before they are handed on
 
 # Fixed value: the pattern that cuts a text into pieces before merging, as the public tokenizer defines it.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -71,9 +72,10 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(merge(piece.encode(), self.ranks), np.int32).tobytes()
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        self[piece] = ids
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -116,10 +118,11 @@ def _map(lines, column: int, build: Callable[[list[bytes]], pa.Array], name: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(lines.value)
-        for b in batches:
-            packed = [t.packed(x) if x else b"" for x in b.column(column).to_pylist()]
-            cols = [build(packed) if i == column else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(cols, names=[name if i == column else f.name for i, f in enumerate(b.schema)])
+        for whole in batches:
+            for b in (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS)):
+                packed = [t.packed(x) if x else b"" for x in b.column(column).to_pylist()]
+                cols = [build(packed) if i == column else c for i, c in enumerate(b.columns)]
+                yield pa.RecordBatch.from_arrays(cols, names=[name if i == column else f.name for i, f in enumerate(b.schema)])
 
     return run
 

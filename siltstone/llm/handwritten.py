@@ -25,8 +25,8 @@ EXTENSIONS = ("js", "mjs", "json", "py", "css")
 MINED_SHARE, MINED_REPOSITORIES = 0.9, 4
 #: A text is a package's if this share of its characters in telling lines is in lines of the package.
 CONTAINED, LINE_CHARS, TEXT_CHARS, BOILERPLATE_PACKAGES = 0.5, 15, 60, 3
-#: Lines of packages are sent to all executors up to so many rows (20 bytes each), else joined by shuffling.
-BROADCAST_LINES = 1_000_000
+#: Lines of packages and mined patterns are sent to all executors up to so many rows, else joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 
 # Folders in which package managers put packages.
 MANAGED = ("node_modules", "bower_components", ".bower-cache", "jspm_packages", "site-packages")
@@ -134,6 +134,10 @@ def _lines(texts: DataFrame) -> DataFrame:
     )
 
 
+def _sent_if_small(written: DataFrame) -> DataFrame:
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def contained_packages(lines: DataFrame, known: DataFrame) -> DataFrame:
     """hash_code, package of every text most of whose lines are lines of the package. ``known`` (hash_code, package) names the
     files that are a package's. Lines of several packages are boilerplate and tell nothing."""
@@ -141,8 +145,7 @@ def contained_packages(lines: DataFrame, known: DataFrame) -> DataFrame:
     of = lines.join(known, "hash_code").select("line", "package").distinct()
     few = of.groupBy("line").agg(F.count("*").alias("_k")).filter(c("_k") < BOILERPLATE_PACKAGES).select("line")
     of = materialise(of.join(few, "line"), "package-lines")
-    if of.count() <= BROADCAST_LINES:
-        of = F.broadcast(of)
+    of = _sent_if_small(of)
     total = lines.groupBy("hash_code").agg(F.sum("n").alias("_all"))
     shared = lines.join(of, "line").groupBy("hash_code", "package").agg(F.sum("n").alias("_n")).filter(c("_n") >= TEXT_CHARS)
     return shared.join(total, "hash_code").filter(c("_n") >= CONTAINED * c("_all")).select("hash_code", "package")
@@ -212,9 +215,9 @@ def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
         F.coalesce(F.exists("packages", lambda p: _own(p, F.coalesce("repository", F.lit("")))), F.lit(False)).alias("_home"),
     )
     found = materialise(found, "found")
-    mined = mined_patterns(found.select("repository", "git_path", "hash_code", ((c("kind") != "") | c("package").isNotNull() | c("_packaged")).alias("marked")))
+    mined = materialise(mined_patterns(found.select("repository", "git_path", "hash_code", ((c("kind") != "") | c("package").isNotNull() | c("_packaged")).alias("marked"))), "mined")
     # a package's files at home resemble those that are carried, and are none
-    hit = found.filter(~c("_home")).select(*REVISION, F.explode(patterns(c("git_path"))).alias("pattern")).join(mined.select("pattern"), "pattern").groupBy(*REVISION).agg(F.min("pattern").alias("mined"))
+    hit = found.filter(~c("_home")).select(*REVISION, F.explode(patterns(c("git_path"))).alias("pattern")).join(_sent_if_small(mined.select("pattern")), "pattern").groupBy(*REVISION).agg(F.min("pattern").alias("mined"))
     on = lambda a, b: (c(f"{a}.hash_code") == c(f"{b}.hash_code")) & (c(f"{a}.git_path") == c(f"{b}.git_path")) & c(f"{a}.repo_owner").eqNullSafe(c(f"{b}.repo_owner")) & c(f"{a}.repository").eqNullSafe(c(f"{b}.repository"))
     out = found.alias("f").join(hit.alias("h"), on("f", "h"), "left").join(declared(file_metadata, contents, files).alias("d"), on("f", "d"), "left")
     return out.select(

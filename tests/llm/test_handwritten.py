@@ -104,7 +104,7 @@ def test_operator(spark):
 
 def test_lines_joined_by_shuffling_give_the_same(spark, monkeypatch):
     want = rows(H.not_handwritten(H.marks(*corpus(spark))))
-    monkeypatch.setattr(H, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
     assert rows(H.not_handwritten(H.marks(*corpus(spark)))) == want
 
 
