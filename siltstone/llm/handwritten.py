@@ -126,11 +126,14 @@ def managed_package(path: Column) -> Column:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """hash_code, line (hash), n (characters) of the distinct lines that are long enough to tell something."""
+    """hash_code, line (hash), n (characters) of the distinct lines that are long enough to tell something, and all, the number
+    of characters in such lines of the text."""
+    tidy = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", ""))))
     return (
-        texts.select("hash_code", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", ""))))).alias("l"))
-        .filter(F.length("l") >= LINE_CHARS)
-        .select("hash_code", F.xxhash64("l").alias("line"), F.length("l").alias("n"))
+        texts.select("hash_code", F.filter(tidy, lambda x: F.length(x) >= LINE_CHARS).alias("_lines"))
+        .withColumn("all", F.aggregate("_lines", F.lit(0), lambda sum_, x: sum_ + F.length(x)))
+        .select("hash_code", "all", F.explode("_lines").alias("_l"))
+        .select("hash_code", "all", F.xxhash64("_l").alias("line"), F.length("_l").alias("n"))
     )
 
 
@@ -138,17 +141,15 @@ def _sent_if_small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
-def contained_packages(lines: DataFrame, known: DataFrame) -> DataFrame:
+def contained_packages(texts: DataFrame, known: DataFrame) -> DataFrame:
     """hash_code, package of every text most of whose lines are lines of the package. ``known`` (hash_code, package) names the
     files that are a package's. Lines of several packages are boilerplate and tell nothing."""
     c = F.col
-    of = lines.join(known, "hash_code").select("line", "package").distinct()
+    of = _lines(texts.join(known.select("hash_code").distinct(), "hash_code", "left_semi")).join(known, "hash_code").select("line", "package").distinct()
     few = of.groupBy("line").agg(F.count("*").alias("_k")).filter(c("_k") < BOILERPLATE_PACKAGES).select("line")
-    of = materialise(of.join(few, "line"), "package-lines")
-    of = _sent_if_small(of)
-    total = lines.groupBy("hash_code").agg(F.sum("n").alias("_all"))
-    shared = lines.join(of, "line").groupBy("hash_code", "package").agg(F.sum("n").alias("_n")).filter(c("_n") >= TEXT_CHARS)
-    return shared.join(total, "hash_code").filter(c("_n") >= CONTAINED * c("_all")).select("hash_code", "package")
+    of = _sent_if_small(materialise(of.join(few, "line"), "package-lines"))
+    shared = _lines(texts).join(of, "line").groupBy("hash_code", "package").agg(F.sum("n").alias("_n"), F.max("all").alias("_all"))
+    return shared.filter((c("_n") >= TEXT_CHARS) & (c("_n") >= CONTAINED * c("_all"))).select("hash_code", "package")
 
 
 def patterns(path: Column) -> Column:
@@ -189,8 +190,7 @@ def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
     c = F.col
     files = revisions(file_metadata, EXTENSIONS)
     live = live_contents(contents)
-    texts = materialise(live.join(files.select("hash_code").distinct(), "hash_code", "left_semi").repartition("hash_code"), "texts")
-    lines = materialise(_lines(texts), "lines")
+    texts = materialise(live.join(files.select("hash_code").distinct(), "hash_code", "left_semi"), "texts")
     judged = materialise(texts.mapInArrow(_judge, "hash_code string, kind string, banner string"), "judged")
     rows = materialise(files.join(judged, "hash_code").withColumn("managed", managed_package(c("git_path"))), "files")
 
@@ -200,7 +200,7 @@ def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
     # a package's own repository is named like it and bears its banner; a like name alone may be chance
     homes = rows.filter((c("banner") != "") & _own(c("banner"), c("repository"))).select("repo_owner", "repository", c("banner").alias("package")).distinct()
     own = rows.filter(c("managed").isNull() & (c("banner") == "")).join(homes, ["repo_owner", "repository"]).select("hash_code", "package")
-    contained = contained_packages(lines, sure.unionByName(own).distinct())
+    contained = contained_packages(texts, sure.unionByName(own).distinct())
 
     # the banner and the contained packages of a content are few; a folder's package counts for the path alone
     by_content = by_banner.distinct().unionByName(contained).groupBy("hash_code").agg(F.collect_set("package").alias("packages"))
