@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.hexes import hex_id
 from siltstone.llm.attributes import parse
 from siltstone.llm.live import REVISION, live_contents, revisions
 from siltstone.session import materialise
@@ -95,15 +96,22 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
+def _sent_if_small(written: DataFrame) -> DataFrame:
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def declared(file_metadata: DataFrame, contents: DataFrame, files: DataFrame) -> DataFrame:
     """The files (REVISION) that an attribute file of their repository decides about: marked true or false. Each attribute
     file counts as it was last; a repository has few rules, so the join by repository is about as large as the files."""
     c = F.col
     attributes = file_metadata.filter(F.lower("git_path").rlike(r"(^|/)\.gitattributes$"))
-    last = attributes.groupBy("repo_owner", "repository", "git_path").agg(F.max(F.struct("commit_time", "commit_id", F.lower(F.trim("hash_code")).alias("h"))).alias("_l"))
+    last = attributes.groupBy("repo_owner", "repository", "git_path").agg(F.max(F.struct("commit_time", "commit_id", hex_id("hash_code").alias("h"))).alias("_l"))
+    last = materialise(last.select("repo_owner", "repository", "git_path", c("_l.h").alias("hash_code")).filter(c("hash_code").isNotNull()), "attributes")
+    if last.isEmpty():
+        return files.select(*REVISION).withColumn("declared", F.lit(None).cast("boolean")).filter(F.lit(False))
+    wanted = contents.withColumn("_h", hex_id("hash_code")).join(_sent_if_small(last.select(c("hash_code").alias("_h")).distinct()), "_h", "left_semi")
     rules = (
-        last.select("repo_owner", "repository", "git_path", c("_l.h").alias("hash_code"))
-        .join(live_contents(contents), "hash_code")
+        last.join(live_contents(wanted), "hash_code")
         .select("repo_owner", "repository", "git_path", "text")
         .mapInArrow(_rules, "repo_owner string, repository string, regex string, mark string, value boolean, depth int, line int")
     )
@@ -137,10 +145,6 @@ def _lines(texts: DataFrame) -> DataFrame:
     )
 
 
-def _sent_if_small(written: DataFrame) -> DataFrame:
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
-
-
 def contained_packages(texts: DataFrame, known: DataFrame) -> DataFrame:
     """hash_code, package of every text most of whose lines are lines of the package. ``known`` (hash_code, package) names the
     files that are a package's. Lines of several packages are boilerplate and tell nothing."""
@@ -200,7 +204,7 @@ def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
     # a package's own repository is named like it and bears its banner; a like name alone may be chance
     homes = rows.filter((c("banner") != "") & _own(c("banner"), c("repository"))).select("repo_owner", "repository", c("banner").alias("package")).distinct()
     own = rows.filter(c("managed").isNull() & (c("banner") == "")).join(homes, ["repo_owner", "repository"]).select("hash_code", "package")
-    contained = contained_packages(texts, sure.unionByName(own).distinct())
+    contained = contained_packages(texts, materialise(sure.unionByName(own).distinct(), "known"))
 
     # the banner and the contained packages of a content are few; a folder's package counts for the path alone
     by_content = by_banner.distinct().unionByName(contained).groupBy("hash_code").agg(F.collect_set("package").alias("packages"))
