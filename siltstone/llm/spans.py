@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.hexes import hex_id
 from siltstone.llm.live import live_contents
 from siltstone.session import materialise, remove, scratch
 
@@ -33,7 +34,7 @@ SPAN, GRAM = 200, 32
 BATCHES, FANOUT = 3, 3
 GROUP, HOT_POSTINGS, HOT_SHARE, SALTS = 20_000, 50_000, 1e-4, 16
 BLOCK = 1 << 20  # characters that are hashed at once
-CHUNK = 20_000  # texts that are verified at once, besides the rest of a group
+CHUNK = 8_000  # texts that are verified at once, besides the rest of a group
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -371,10 +372,14 @@ def shared_stretches(index: SpanIndex, texts: DataFrame, group: int = GROUP, hot
 
 
 def _records(spark: SparkSession, contents: DataFrame, buckets: int) -> DataFrame:
-    """rec, hash_code, text of the live contents, written once, bucketed by rec."""
+    """rec, hash_code, text of the live contents, written once, bucketed by rec. Rows of a content are combined before the one
+    shuffle of the texts, which also brings them to their buckets. Should two hashes ever have one number, the job fails."""
     name = f"records_{uuid.uuid4().hex}"
-    rows = live_contents(contents).select(F.xxhash64("hash_code").alias("rec"), "hash_code", "text")
-    rows.repartition(buckets, "rec").write.bucketBy(buckets, "rec").option("path", scratch(spark, "records")).option("compression", "zstd").saveAsTable(name)
+    code = hex_id("hash_code")
+    rows = contents.filter(F.col("deleted_at").isNull() & code.isNotNull()).select(code.alias("hash_code"), F.coalesce("contents", F.lit("")).alias("text"))
+    one = rows.groupBy(F.xxhash64("hash_code").alias("rec")).agg(F.min("hash_code").alias("hash_code"), F.max("hash_code").alias("_other"), F.max("text").alias("text"))
+    alone = F.when(F.col("hash_code") == F.col("_other"), F.col("text")).otherwise(F.raise_error(F.lit("two contents under one record number")))
+    one.select("rec", "hash_code", alone.alias("text")).write.bucketBy(buckets, "rec").option("path", scratch(spark, "records")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
