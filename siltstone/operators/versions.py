@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.hexes import hex_id
 from siltstone.operators.history import PATH, same
 from siltstone.schemas import SPLITS
+from siltstone.session import materialise
 
 BLOCK_BITS = 20
 
@@ -35,6 +36,7 @@ def attribute_versions(snapshots: DataFrame, entity: Sequence[str], attribute: s
         .agg(F.max(F.struct(c(tie).alias("_tie"), c(attribute).alias("_a"))).alias("_r"))
         .select(*entity, "_t", c("_r._a").alias("_a"), F.shiftright("_t", BLOCK_BITS).alias("_b"))
     )
+    rows = materialise(rows, "snapshots")  # read for the rows and for the blocks
     inside = Window.partitionBy(*entity, "_b").orderBy("_t")
     blocks = Window.partitionBy(*entity).orderBy("_b")
     # the attribute that held when the block began
@@ -62,6 +64,7 @@ def attribute_versions(snapshots: DataFrame, entity: Sequence[str], attribute: s
         .groupBy(*entity, "_b", "_island")
         .agg(F.min("_t").alias("_from"), F.max("_a").alias("_a"))
     )
+    islands = materialise(islands, "islands")
     # the first change of any later block
     later = (
         islands.groupBy(*entity, "_b")
