@@ -27,12 +27,14 @@ def candidates(data: DataFrame) -> DataFrame:
 
 def folder_deltas(revisions: DataFrame) -> DataFrame:
     """What each (repository, time, folder) adds to the three sums. A path added again after a deletion counts as added;
-    a second deletion in a row changes nothing. A path's revisions are ordered by COMMIT_TIME, then hash."""
+    a second deletion in a row changes nothing. A path's revisions are ordered by COMMIT_TIME, then COMMIT_ID where the frame has
+    it (``all_data(..., with_commit=True)``), then hash."""
     c = F.col
+    commit = ["COMMIT_ID"] if "COMMIT_ID" in revisions.columns else []
     # written once, as the scan reads it for the rows and for the blocks
-    blocks = materialise(revisions.select(*H.BASE, F.crc32("HASH_CODE").alias("_crc"), scan.time_block("COMMIT_TIME").alias("_block")), "revisions")
+    blocks = materialise(revisions.select(*H.BASE, *commit, F.crc32("HASH_CODE").alias("_crc"), scan.time_block("COMMIT_TIME").alias("_block")), "revisions")
     rows = (
-        scan.previous(blocks, H.PATH, ("COMMIT_TIME", "HASH_CODE"), "_crc", "_prev")
+        scan.previous(blocks, H.PATH, ("COMMIT_TIME", *commit, "HASH_CODE"), "_crc", "_prev")
         .select(
             "REPO_OWNER",
             "REPOSITORY",

@@ -36,12 +36,13 @@ def with_head(fm: DataFrame) -> DataFrame:
     )
 
 
-def all_data(fm: DataFrame) -> DataFrame:
+def all_data(fm: DataFrame, with_commit: bool = False) -> DataFrame:
     """Every revision with its path's head and its content's origin.
 
     The origin of a hash is its first revision by COMMIT_TIME, then owner, repository, path and commit. IS_UNIQUE is true
     for a hash with one revision, else null. For a deletion the O_ columns and IS_UNIQUE are null. An empty input gives an
-    empty result; columns beside the six of FILE_METADATA are ignored."""
+    empty result; columns beside the six of FILE_METADATA are ignored. ``with_commit`` keeps COMMIT_ID, by which folder states
+    order the revisions of a path at one time."""
     rows = with_head(fm.select(*BASE, "COMMIT_ID"))
     first = F.struct("COMMIT_TIME", *PATH, "COMMIT_ID", "HEAD_HASH_CODE", "HEAD_COMMIT_TIME")
     alive = rows.filter(F.col("HASH_CODE").isNotNull())
@@ -50,9 +51,10 @@ def all_data(fm: DataFrame) -> DataFrame:
         *[F.col(f"_o.{c}").alias(f"O_{c}") for c in (*PATH, "COMMIT_TIME", "HEAD_HASH_CODE", "HEAD_COMMIT_TIME")],
         F.when(F.col("_n") == 1, F.lit(True)).alias("IS_UNIQUE"),
     )
-    out = [*BASE, *HEAD, *ORIGIN, "IS_UNIQUE"]
+    kept = [*BASE, "COMMIT_ID"] if with_commit else [*BASE]
+    out = [*kept, *HEAD, *ORIGIN, "IS_UNIQUE"]
     deleted = rows.filter(F.col("HASH_CODE").isNull()).select(
-        *BASE, *HEAD, *[F.lit(None).cast("long" if c.endswith("TIME") else "string").alias(c) for c in ORIGIN], F.lit(None).cast("boolean").alias("IS_UNIQUE")
+        *kept, *HEAD, *[F.lit(None).cast("long" if c.endswith("TIME") else "string").alias(c) for c in ORIGIN], F.lit(None).cast("boolean").alias("IS_UNIQUE")
     )
     return alive.join(origins, "HASH_CODE").select(*out).unionByName(deleted)
 
@@ -72,7 +74,7 @@ def copy(data: DataFrame) -> DataFrame:
     c = F.col
     elsewhere = (c("REPO_OWNER") != c("O_REPO_OWNER")) | (c("REPOSITORY") != c("O_REPOSITORY")) | (c("GIT_PATH") != c("O_GIT_PATH"))
     moved = c("O_HEAD_HASH_CODE").isNull() & (c("O_HEAD_COMMIT_TIME") == c("COMMIT_TIME"))
-    return data.filter(c("HASH_CODE").isNotNull() & (c("COMMIT_TIME") != c("O_COMMIT_TIME")) & elsewhere & ~moved).drop("IS_UNIQUE")
+    return data.filter(c("HASH_CODE").isNotNull() & (c("COMMIT_TIME") != c("O_COMMIT_TIME")) & elsewhere & ~moved).select(*BASE, *HEAD, *ORIGIN)
 
 
 def head_copy(data: DataFrame) -> DataFrame:

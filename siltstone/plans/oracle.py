@@ -14,13 +14,13 @@ _ALL = _FM + """, headed AS (
   SELECT *, row_number() OVER (PARTITION BY HASH_CODE ORDER BY COMMIT_TIME, REPO_OWNER, REPOSITORY, GIT_PATH, COMMIT_ID) AS rn,
     count(*) OVER (PARTITION BY HASH_CODE) AS n
   FROM headed WHERE HASH_CODE IS NOT NULL), all_data AS (
-  SELECT h.REPO_OWNER, h.REPOSITORY, h.GIT_PATH, h.HASH_CODE, h.COMMIT_TIME, h.HEAD_COMMIT_TIME, h.HEAD_HASH_CODE,
+  SELECT h.REPO_OWNER, h.REPOSITORY, h.GIT_PATH, h.HASH_CODE, h.COMMIT_TIME, h.COMMIT_ID, h.HEAD_COMMIT_TIME, h.HEAD_HASH_CODE,
     o.REPO_OWNER AS O_REPO_OWNER, o.REPOSITORY AS O_REPOSITORY, o.GIT_PATH AS O_GIT_PATH, o.COMMIT_TIME AS O_COMMIT_TIME,
     o.HEAD_HASH_CODE AS O_HEAD_HASH_CODE, o.HEAD_COMMIT_TIME AS O_HEAD_COMMIT_TIME, CASE WHEN o.n = 1 THEN true END AS IS_UNIQUE
   FROM headed h LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) o ON h.HASH_CODE = o.HASH_CODE), orig AS (
   SELECT DISTINCT O_REPO_OWNER, O_REPOSITORY, O_GIT_PATH, O_COMMIT_TIME, HASH_CODE, O_HEAD_COMMIT_TIME, O_HEAD_HASH_CODE, IS_UNIQUE
   FROM all_data WHERE HASH_CODE IS NOT NULL AND COMMIT_TIME = O_COMMIT_TIME), copy_ AS (
-  SELECT * EXCLUDE (IS_UNIQUE) FROM all_data
+  SELECT * EXCLUDE (IS_UNIQUE, COMMIT_ID) FROM all_data
   WHERE HASH_CODE IS NOT NULL AND COMMIT_TIME <> O_COMMIT_TIME
     AND (REPO_OWNER <> O_REPO_OWNER OR REPOSITORY <> O_REPOSITORY OR GIT_PATH <> O_GIT_PATH)
     AND NOT (O_HEAD_HASH_CODE IS NULL AND O_HEAD_COMMIT_TIME = COMMIT_TIME)), head_copy AS (
@@ -48,7 +48,7 @@ def _crc(x: str) -> str:
 _FOLDERS = f""", cand AS (
   SELECT *, {_crc('HASH_CODE')} AS crc, {_folder('GIT_PATH')} AS FOLDER, {_crc(_name('GIT_PATH'))} AS name
   FROM all_data WHERE REPO_OWNER IN (SELECT O_REPO_OWNER FROM head_copy) AND REPOSITORY IN (SELECT O_REPOSITORY FROM head_copy)), lagged AS (
-  SELECT *, lag(crc) OVER (PARTITION BY REPO_OWNER, REPOSITORY, GIT_PATH ORDER BY COMMIT_TIME, HASH_CODE NULLS FIRST) AS prev FROM cand), deltas AS (
+  SELECT *, lag(crc) OVER (PARTITION BY REPO_OWNER, REPOSITORY, GIT_PATH ORDER BY COMMIT_TIME, COMMIT_ID NULLS FIRST, HASH_CODE NULLS FIRST) AS prev FROM cand), deltas AS (
   SELECT REPO_OWNER, REPOSITORY, COMMIT_TIME, FOLDER, sum(coalesce(crc, 0) - coalesce(prev, 0)) AS dh,
     sum(CASE WHEN prev IS NULL AND crc IS NULL THEN 0 WHEN prev IS NULL THEN name WHEN crc IS NULL THEN -name ELSE 0 END) AS dn,
     sum(CASE WHEN prev IS NULL AND crc IS NULL THEN 0 WHEN prev IS NULL THEN 1 WHEN crc IS NULL THEN -1 ELSE 0 END) AS df
@@ -75,7 +75,7 @@ def _label(*rules: tuple[str, str]) -> str:
 _A, _F = f"WITH {_ALL} ", f"WITH {_ALL}{_FOLDERS} "
 
 ORACLE = {
-    "q01_all_data": _A + "SELECT * FROM all_data",
+    "q01_all_data": _A + "SELECT * EXCLUDE (COMMIT_ID) FROM all_data",
     "q02_orig": _A + "SELECT * FROM orig",
     "q03_copy": _A + "SELECT * FROM copy_",
     "q04_head_copy": _A + "SELECT * FROM head_copy",
@@ -108,6 +108,11 @@ ORACLE = {
       SELECT regexp_extract(RESPONSE, 'git://github\\.com/([^/]+)/(.+?)(\\.git|")', 1) AS REPO_OWNER, regexp_extract(RESPONSE, 'git://github\\.com/([^/]+)/(.+?)(\\.git|")', 2) AS REPOSITORY
       FROM names JOIN answers ON PACKAGE = CASE WHEN REPO IN (SELECT PACKAGE FROM answers) THEN REPO ELSE split_part(REPO, '.', 1) END""",
     "q18b_semi_filter": _A + "SELECT count(*) AS n FROM all_data WHERE REPO_OWNER IN (SELECT O_REPO_OWNER FROM head_copy) AND REPOSITORY IN (SELECT O_REPOSITORY FROM head_copy)",
+    "q19_summary": _A
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM all_data"
+        for c in "REPO_OWNER REPOSITORY GIT_PATH HASH_CODE COMMIT_TIME HEAD_COMMIT_TIME HEAD_HASH_CODE O_REPO_OWNER O_REPOSITORY O_GIT_PATH O_COMMIT_TIME O_HEAD_HASH_CODE O_HEAD_COMMIT_TIME IS_UNIQUE".split()
+    ),
     "q20_true_path_copy": _A
     + """SELECT REPO_OWNER, REPOSITORY, COMMIT_TIME, substr(GIT_PATH, 1, length(GIT_PATH) - length(O_GIT_PATH)) AS GIT_PATH_PREFIX, O_REPO_OWNER, O_REPOSITORY, max(O_COMMIT_TIME) AS O_COMMIT_TIME
       FROM head_copy WHERE (REPO_OWNER <> O_REPO_OWNER OR REPOSITORY <> O_REPOSITORY) AND length(GIT_PATH) > length(O_GIT_PATH) AND contains(GIT_PATH, O_GIT_PATH) GROUP BY 1, 2, 3, 4, 5, 6""",

@@ -20,7 +20,7 @@ def _fresh(s: SparkSession, d: str) -> DataFrame:
 
 def _data(s: SparkSession, d: str) -> DataFrame:
     """The enriched revisions, which all queries share: written once for each version of the inputs."""
-    return C.sticky_checkpoint(_fresh(s, d), "all_data")
+    return C.sticky_checkpoint(history.all_data(file_metadata(s, d), with_commit=True), "all_data")
 
 
 def _examples(s: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ QUERIES: dict[str, Query] = {
     "q17_essential_node_git_repos": _git_repos,
     "q18_approx_sizes": _on_data(lambda a: C.approx_sizes(a, ["REPO_OWNER", "REPOSITORY", "HASH_CODE"])),
     "q18b_semi_filter": _on_data(_semi),
-    "q19_summary": _on_data(explore.summary),
+    "q19_summary": _on_data(lambda a: explore.summary(a.drop("COMMIT_ID"))),
     "q20_true_path_copy": _on_data(explore.true_path_copy),
     "q21_copy_chain": _on_data(explore.copy_chain),
     "q22_copy_phase": lambda s, d: explore.copy_phase(_data(s, d)).withColumn("sum_phase", F.round("sum_phase", 6)),
