@@ -347,30 +347,64 @@ class _Parser:
     def module(self) -> None:
         i, k = 0, self.k
         while k[i] != "end":
-            try:
-                i = self.statement(i)
-            except _Bad as bad:
-                if len(self.errors) < LIMIT:
-                    self.errors.append((self.starts[bad.at], bad.why))
-                i = self.recover(i, bad.at)
+            i = self.guarded(i)
 
-    def recover(self, start: int, i: int) -> int:
-        """The next line at the outermost level."""
+    def guarded(self, i: int) -> int:
+        """A statement; after an error, the place from which parsing goes on (panic mode)."""
+        try:
+            return self.statement(i)
+        except _Bad as bad:
+            self.keep(i, bad)
+            return self.recover(i, bad.at)
+
+    def keep(self, start: int, bad: _Bad) -> None:
+        if bad.at == start and self.errors and self.errors[-1][0] == self.starts[start]:
+            return  # known as the error of what should have stood here
+        if len(self.errors) < LIMIT:
+            self.errors.append((self.starts[bad.at], bad.why))
+
+    def recover(self, start: int, at: int) -> int:
+        """The next line of the indentation of the statement at ``start``. A block below the line of the error, and the clauses
+        that belong to the statement, are read for their own errors."""
         k = self.k
-        depth = sum((k[j] == "indent") - (k[j] == "dedent") for j in range(start, i))
-        while k[i] != "end":
-            a = k[i]
-            i += 1
-            if a == "indent":
-                depth += 1
-            elif a == "dedent":
-                depth -= 1
-                if depth <= 0 and k[i] != "dedent":
-                    return i
-            elif a == "nl" and depth <= 0 and k[i] != "indent":
-                return i
+        i, blocks = self.below(start, at)
+        allowed = _CLAUSES.get(k[start + 1] if k[start] == "async" else k[start], frozenset(("elif", "else", "except", "finally")) if blocks else frozenset())
+        while k[i] in allowed:
+            a, n = k[i], len(self.errors)
+            i = self.clause(i)
+            if n == len(self.errors) and a in ("else", "finally"):
+                allowed = allowed & {"finally"} if a == "else" else frozenset()
         return i
 
+    def below(self, start: int, at: int) -> tuple[int, bool]:
+        """The place behind the line of an error and behind a block below it, and whether there was one."""
+        k, i = self.k, at
+        if at == start or k[at - 1] not in ("nl", "dedent"):  # else a line was due that isn't there, and the next is whole
+            while k[i] not in ("nl", "indent", "dedent", "end"):
+                i += 1
+            i += k[i] == "nl"
+        if k[i] == "indent":
+            return self.block(i + 1), True
+        return i + (i == start and k[i] == "dedent"), False
+
+    def clause(self, i: int) -> int:
+        """A further clause of a statement whose earlier part is broken."""
+        k, start = self.k, i
+        try:
+            i += 1
+            if k[start] == "elif":
+                i = self.named(i)
+            elif k[start] == "except":
+                i += k[i] == "*"
+                if k[i] != ":" or k[i - 1] == "*":
+                    i = self.expression(i)
+                    if k[i] == "as":
+                        i = self.name(i + 1)
+            return self.suite(i)
+        except _Bad as bad:
+            self.keep(start, bad)
+            return self.below(start, bad.at)[0]
+
     def statement(self, i: int) -> int:
         a = self.k[i]
         handler = _COMPOUND.get(a)
@@ -402,12 +436,14 @@ class _Parser:
         k = self.k
         if k[i] != "nl":
             return self.simple(i)
-        i = self.need(i + 1, "indent")
-        while k[i] != "dedent":
-            if k[i] == "end":
-                self.fail(i)
-            i = self.statement(i)
-        return i + 1
+        return self.block(self.need(i + 1, "indent"))
+
+    def block(self, i: int) -> int:
+        """The statements up to the end of a block, each with its own errors."""
+        k = self.k
+        while k[i] != "dedent" and k[i] != "end":
+            i = self.guarded(i)
+        return i + (k[i] == "dedent")
 
     def small(self, i: int) -> int:
         k = self.k
@@ -656,13 +692,15 @@ class _Parser:
         if k[i] == "(":
             end = self.closing(i)
             if k[end + 1] == ":":
+                # only the head is tried twice: the errors of the block are kept as they are met
                 try:
-                    return self.suite(self.need(self.with_items(i + 1, ")"), ")"))
+                    j = self.need(self.with_items(i + 1, ")"), ")")
                 except _Bad as first:
                     try:
-                        return self.suite(self.with_items(i, ":"))
+                        j = self.with_items(i, ":")
                     except _Bad as second:
                         raise (first if first.at >= second.at else second) from None
+                return self.suite(j)
         return self.suite(self.with_items(i, ":"))
 
     def with_items(self, i: int, end: str) -> int:
@@ -801,14 +839,19 @@ class _Parser:
         except _Bad:
             return 0
         i = j + 3
-        while k[i] != "dedent":
-            if k[i] != "I" or self.word(i) != "case":
-                self.fail(i)
-            i = self.patterns(i + 1)
-            if k[i] == "if":
-                i = self.named(i + 1)
-            i = self.suite(i)
-        return i + 1
+        while k[i] != "dedent" and k[i] != "end":
+            start = i
+            try:
+                if k[i] != "I" or self.word(i) != "case":
+                    self.fail(i)
+                i = self.patterns(i + 1)
+                if k[i] == "if":
+                    i = self.named(i + 1)
+                i = self.suite(i)
+            except _Bad as bad:
+                self.keep(start, bad)
+                i = self.below(start, bad.at)[0]
+        return i + (k[i] == "dedent")
 
     def patterns(self, i: int) -> int:
         k = self.k
@@ -1169,6 +1212,12 @@ _COMPOUND = {
     "if": _Parser.c_if, "while": _Parser.c_while, "for": _Parser.c_for, "try": _Parser.c_try, "with": _Parser.c_with, "def": _Parser.c_def,
     "class": _Parser.c_class, "async": _Parser.c_async, "@": _Parser.c_decorated, "indent": _Parser.c_indent,
 }
+_TRY, _IF = frozenset(("except", "else", "finally")), frozenset(("elif", "else"))
+#: The clauses that may follow a broken statement or clause.
+_CLAUSES = {
+    "if": _IF, "elif": _IF, "while": frozenset(("else",)), "for": frozenset(("else",)), "try": _TRY, "except": _TRY, "else": frozenset(("finally",)),
+    "with": frozenset(), "def": frozenset(), "class": frozenset(), "@": frozenset(), "indent": frozenset(),
+}
 _SMALL = {
     "pass": _Parser.s_word, "break": _Parser.s_word, "continue": _Parser.s_word, "return": _Parser.s_return, "raise": _Parser.s_raise, "global": _Parser.s_names,
     "nonlocal": _Parser.s_names, "del": _Parser.s_del, "assert": _Parser.s_assert, "yield": _Parser.s_yield, "import": _Parser.s_import, "from": _Parser.s_from,
@@ -1182,4 +1231,9 @@ def errors(text: str) -> list[tuple[int, str]]:
         p.module()
     except RecursionError:
         return [(0, "nested too deeply")]
-    return sorted(p.lx.errors[:LIMIT] + p.errors)
+    # of the parser's errors at one position the one met first is the cause
+    ranked, last = [(at, False, why) for at, why in p.lx.errors[:LIMIT]], -1
+    for at, why in p.errors:
+        ranked.append((at, at == last, why))
+        last = at
+    return [(at, why) for at, _, why in sorted(ranked)]

@@ -61,6 +61,63 @@ def test_recovery_finds_later_errors():
     assert len(parse_json.errors('{"a": x, "b": [1 2], "c": 3,}')) == 3
 
 
+BROKEN_CLASS = """class A:
+    def a(self):
+        print 'x'
+        return 1
+
+    def b(self, c d):
+        return e f
+
+    def c(self):
+        try:
+            print 1
+        except A, e:
+            print 2
+        else:
+            x = 1
+        finally:
+            print 3
+        return 4
+
+    def d(self):
+        with (a, b):
+            print 5
+        if x y:
+            pass
+        elif z w:
+            g h
+        else:
+            pass
+
+    def e(self):
+        match x:
+            case 1 2:
+                a b
+            case [3]:
+                c d
+
+    def f(self):
+        if a:
+
+    def g(self):
+        return 1 1
+x = 2 2
+"""
+
+
+def test_python_recovers_within_blocks():
+    found = [BROKEN_CLASS[:p].count("\n") + 1 for p, _ in parse_py.errors(BROKEN_CLASS)]
+    assert found == [3, 6, 7, 11, 12, 13, 17, 22, 23, 25, 26, 32, 33, 35, 40, 41, 42]
+    # a whole class with one error in each of ten methods
+    code = "class A:\n" + "".join(f"    def m{i}(self):\n        x = \n        return {i}\n" for i in range(10))
+    assert len(parse_py.errors(code)) == 10
+    # what follows a broken statement at the same indentation gives no errors of its own
+    for code in ["if a b:\n  c\nelse:\n  d\n", "try:\n  a\nexcept A, e:\n  b\nexcept C:\n  d\nfinally:\n  e\n", "def f():\n  if a:\nb = 1\n", "  a = 1\n  b = 2\nc = 3\n", "def f(a)\n  return a\n", "@a\nb = 1\n", "try:\n  a\nb = 1\n"]:
+        assert len(parse_py.errors(code)) == 1, code
+    assert len(parse_py.errors("if a b:\n  c\nelse:\n  d\nelse:\n  e\n")) == 2
+
+
 def test_deep_and_long_texts():
     sys.setrecursionlimit(max(sys.getrecursionlimit(), syntax.DEPTH))
     assert parse_js.errors("(" * 2000 + "a" + ")" * 2000) == []
