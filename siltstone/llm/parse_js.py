@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 
-LIMIT = 100  # errors kept for a text
 
 # Words of the language and its operators with their precedence.
 RESERVED = frozenset(
@@ -438,8 +437,7 @@ class _Parser:
         try:
             return self.item(i)
         except _Bad as bad:
-            if len(self.errors) < LIMIT:
-                self.errors.append((self.starts[bad.at], bad.why))
+            self.errors.append((self.starts[bad.at], bad.why))
             del self.scopes[depth:]
             del self.private[:]
             self.no_in = False
@@ -1424,4 +1422,4 @@ def errors(text: str) -> list[tuple[int, str]]:
                 return []
     except RecursionError:
         return [(0, "nested too deeply")]
-    return sorted(p.lx.errors[:LIMIT] + p.errors)
+    return sorted(p.lx.errors + p.errors)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-LIMIT = 100
 _TOKEN = re.compile(
     r"[ \t\n\r]*(?:(\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null)|([{}\[\],:])|\Z)"
 )
@@ -40,9 +39,8 @@ def errors(text: str) -> list[tuple[int, str]]:
     starts += [n] * 2
 
     def fail(i: int) -> None:
-        if len(out) < LIMIT:
-            k = kinds[i]
-            out.append((starts[i], {"end": "unexpected end", "?": "illegal token", "s": "unexpected string", "v": "unexpected value"}.get(k, f"unexpected {k}")))
+        k = kinds[i]
+        out.append((starts[i], {"end": "unexpected end", "?": "illegal token", "s": "unexpected string", "v": "unexpected value"}.get(k, f"unexpected {k}")))
 
     def skip(i: int) -> int:
         """The next comma or closing bracket at this nesting."""

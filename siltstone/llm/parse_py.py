@@ -11,8 +11,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-LIMIT = 100
-
 # Keywords, and operators with their precedence.
 KEYWORDS = frozenset(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or "
@@ -360,8 +358,7 @@ class _Parser:
     def keep(self, start: int, bad: _Bad) -> None:
         if bad.at == start and self.errors and self.errors[-1][0] == self.starts[start]:
             return  # known as the error of what should have stood here
-        if len(self.errors) < LIMIT:
-            self.errors.append((self.starts[bad.at], bad.why))
+        self.errors.append((self.starts[bad.at], bad.why))
 
     def recover(self, start: int, at: int) -> int:
         """The next line of the indentation of the statement at ``start``. A block below the line of the error, and the clauses
@@ -1232,7 +1229,7 @@ def errors(text: str) -> list[tuple[int, str]]:
     except RecursionError:
         return [(0, "nested too deeply")]
     # of the parser's errors at one position the one met first is the cause
-    ranked, last = [(at, False, why) for at, why in p.lx.errors[:LIMIT]], -1
+    ranked, last = [(at, False, why) for at, why in p.lx.errors], -1
     for at, why in p.errors:
         ranked.append((at, at == last, why))
         last = at

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from siltstone.operators.skew import salted_semi_join
 LANGUAGES = {"js": "javascript", "mjs": "javascript", "json": "json", "py": "python"}
 PARSERS = {"javascript": parse_js.errors, "json": parse_json.errors, "python": parse_py.errors}
 DEPTH = 100_000  # of Python calls; they take no space on the machine's stack
+SENT_ERRORS = 50_000  # a text may have as many errors as tokens: rows are handed on when they hold so many
 PARSED = "hash_code string, language string, n_errors int, first_position long, first_cause string, errors array<struct<position:long,cause:string>>"
 
 
@@ -31,22 +33,36 @@ def language(extension: Column) -> Column:
     return out
 
 
+def _batch(rows: list[tuple[str, str, list[tuple[int, str]]]]) -> pa.RecordBatch:
+    hashes, names, found = zip(*rows)
+    every = [e for errors in found for e in errors]
+    structs = pa.StructArray.from_arrays([pa.array([p for p, _ in every], pa.int64()), pa.array([c for _, c in every], pa.string())], names=["position", "cause"])
+    offsets = pa.array([0, *accumulate(map(len, found))], pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(hashes, pa.string()),
+            pa.array(names, pa.string()),
+            pa.array([len(e) for e in found], pa.int32()),
+            pa.array([e[0][0] if e else None for e in found], pa.int64()),
+            pa.array([e[0][1] if e else None for e in found], pa.string()),
+            pa.ListArray.from_arrays(offsets, structs),
+        ],
+        names=["hash_code", "language", "n_errors", "first_position", "first_cause", "errors"],
+    )
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
-    kind = pa.list_(pa.struct([("position", pa.int64()), ("cause", pa.string())]))
     for b in batches:
-        found = [PARSERS[name](text) for name, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column(0),
-                b.column(1),
-                pa.array([len(e) for e in found], pa.int32()),
-                pa.array([e[0][0] if e else None for e in found], pa.int64()),
-                pa.array([e[0][1] if e else None for e in found], pa.string()),
-                pa.array([[{"position": p, "cause": c} for p, c in e] for e in found], kind),
-            ],
-            names=["hash_code", "language", "n_errors", "first_position", "first_cause", "errors"],
-        )
+        rows, n = [], 0
+        for h, name, text in zip(*(c.to_pylist() for c in b.columns)):
+            rows.append((h, name, PARSERS[name](text)))
+            n += len(rows[-1][2])
+            if n >= SENT_ERRORS:
+                yield _batch(rows)
+                rows, n = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 def judged(file_metadata: DataFrame) -> DataFrame:
@@ -55,7 +71,7 @@ def judged(file_metadata: DataFrame) -> DataFrame:
 
 
 def parse_contents(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
-    """For each live content and language that a path names for it: the number of errors (at most 100 are kept), the first one's
+    """For each live content and language that a path names for it: the number of errors, the first one's
     position (code points from 0) and cause, and all errors. A content without errors has the number 0.
 
     An empty text, and a null one, is valid JavaScript and Python but not JSON; a byte-order mark may lead. JavaScript is run as

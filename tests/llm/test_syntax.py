@@ -118,6 +118,12 @@ def test_python_recovers_within_blocks():
     assert len(parse_py.errors("if a b:\n  c\nelse:\n  d\nelse:\n  e\n")) == 2
 
 
+def test_no_error_is_dropped():
+    assert len(parse_py.errors("a = \n" * 250)) == 250 and len(parse_py.errors("a = '\\x1'\n" * 250)) == 250
+    assert len(parse_js.errors("var a = ;\n" * 250)) == 250 and len(parse_js.errors("a = '\\u00g';\n" * 250)) == 250
+    assert len(parse_json.errors("[" + "x," * 250 + "1]")) == 250
+
+
 def test_deep_and_long_texts():
     sys.setrecursionlimit(max(sys.getrecursionlimit(), syntax.DEPTH))
     assert parse_js.errors("(" * 2000 + "a" + ")" * 2000) == []
@@ -217,3 +223,17 @@ def test_operator(spark):
     rates = {(r.repository, r.language): (r.n_revisions, r.n_invalid, r.commonest_cause) for r in syntax.rates(fm, ct).collect()}
     assert rates == {("r", "javascript"): (2, 0, None), ("r", "python"): (1, 1, "unexpected name"), (None, "json"): (1, 1, "unexpected end"), (None, "javascript"): (1, 0, None)}
     assert syntax.invalid_revisions(fm.limit(0), ct).count() == 0 and syntax.rates(fm, ct.limit(0)).count() == 0
+
+
+def test_errors_are_counted_and_kept_over_batches(spark, monkeypatch):
+    texts = {f"h{i}": "a = \n" * (i * 60) for i in range(6)}
+    fm = spark.createDataFrame([("o", "r", f"{h}.py", h, 1, "c") for h in texts], FM)
+    ct = spark.createDataFrame([(h, t, None) for h, t in texts.items()], CONTENTS).coalesce(1)
+    got = {r.hash_code: r for r in syntax.parse_contents(fm, ct).collect()}
+    assert {h: r.n_errors for h, r in got.items()} == {f"h{i}": i * 60 for i in range(6)}
+    assert all([e.position for e in r.errors] == [4 + 5 * j for j in range(r.n_errors)] for r in got.values())
+    batch = syntax.pa.RecordBatch.from_pylist([{"h": h, "l": "python", "t": t} for h, t in texts.items()])
+    whole = [r for b in syntax._parse([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(syntax, "SENT_ERRORS", 100)
+    parts = list(syntax._parse([batch]))
+    assert len(parts) > 1 and [r for b in parts for r in b.to_pylist()] == whole
