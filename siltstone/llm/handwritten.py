@@ -100,15 +100,15 @@ def _sent_if_small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
-def declared(file_metadata: DataFrame, contents: DataFrame, files: DataFrame) -> DataFrame:
-    """The files (REVISION) that an attribute file of their repository decides about: marked true or false. Each attribute
-    file counts as it was last; a repository has few rules, so the join by repository is about as large as the files."""
+def declared(file_metadata: DataFrame, contents: DataFrame, files: DataFrame) -> DataFrame | None:
+    """The files (REVISION) that an attribute file of their repository decides about: marked true or false; None if there are no
+    attribute files. Each counts as it was last; a repository has few rules, so the join by repository is about as large as the files."""
     c = F.col
     attributes = file_metadata.filter(F.lower("git_path").rlike(r"(^|/)\.gitattributes$"))
     last = attributes.groupBy("repo_owner", "repository", "git_path").agg(F.max(F.struct("commit_time", "commit_id", hex_id("hash_code").alias("h"))).alias("_l"))
     last = materialise(last.select("repo_owner", "repository", "git_path", c("_l.h").alias("hash_code")).filter(c("hash_code").isNotNull()), "attributes")
     if last.isEmpty():
-        return files.select(*REVISION).withColumn("declared", F.lit(None).cast("boolean")).filter(F.lit(False))
+        return None
     wanted = contents.withColumn("_h", hex_id("hash_code")).join(_sent_if_small(last.select(c("hash_code").alias("_h")).distinct()), "_h", "left_semi")
     rules = (
         last.join(live_contents(wanted), "hash_code")
@@ -173,11 +173,12 @@ def patterns(path: Column) -> Column:
 
 
 def mined_patterns(marked: DataFrame) -> DataFrame:
-    """pattern, of files (repository, git_path, hash_code, marked). A pattern is judged by the distinct contents of its files,
-    so that a popular file counts once."""
+    """pattern, of files (repository, git_path, hash_code, declared, marked). A pattern is judged by the distinct contents of its
+    files, so that a popular file counts once: by what most of the attribute files that decide about them say, and by their
+    texts' marks where none does."""
     c = F.col
-    each = marked.select("repository", "hash_code", "marked", F.explode(patterns(c("git_path"))).alias("pattern"))
-    by_content = each.groupBy("pattern", "hash_code").agg(F.max(c("marked").cast("int")).alias("m"))
+    each = marked.select("repository", "hash_code", "declared", "marked", F.explode(patterns(c("git_path"))).alias("pattern"))
+    by_content = each.groupBy("pattern", "hash_code").agg(F.coalesce((F.avg(c("declared").cast("int")) > 0.5).cast("int"), F.max(c("marked").cast("int"))).alias("m"))
     share = by_content.groupBy("pattern").agg(F.sum("m").alias("_m"), F.count("*").alias("_n"))
     # distinct repositories of a pattern, combined before the shuffle
     spread = each.select("pattern", "repository").distinct().groupBy("pattern").agg(F.count("*").alias("_r"))
@@ -219,11 +220,16 @@ def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
         F.coalesce(F.exists("packages", lambda p: _own(p, F.coalesce("repository", F.lit("")))), F.lit(False)).alias("_home"),
     )
     found = materialise(found, "found")
-    mined = materialise(mined_patterns(found.select("repository", "git_path", "hash_code", ((c("kind") != "") | c("package").isNotNull() | c("_packaged")).alias("marked"))), "mined")
+    on = lambda a, b: (c(f"{a}.hash_code") == c(f"{b}.hash_code")) & (c(f"{a}.git_path") == c(f"{b}.git_path")) & c(f"{a}.repo_owner").eqNullSafe(c(f"{b}.repo_owner")) & c(f"{a}.repository").eqNullSafe(c(f"{b}.repository"))
+    decided = declared(file_metadata, contents, files)
+    if decided is None:
+        found = found.withColumn("declared", F.lit(None).cast("boolean"))
+    else:
+        found = materialise(found.alias("f").join(decided.alias("d"), on("f", "d"), "left").select("f.*", "declared"), "declared")
+    mined = materialise(mined_patterns(found.select("repository", "git_path", "hash_code", "declared", ((c("kind") != "") | c("package").isNotNull() | c("_packaged")).alias("marked"))), "mined")
     # a package's files at home resemble those that are carried, and are none
     hit = found.filter(~c("_home")).select(*REVISION, F.explode(patterns(c("git_path"))).alias("pattern")).join(_sent_if_small(mined.select("pattern")), "pattern").groupBy(*REVISION).agg(F.min("pattern").alias("mined"))
-    on = lambda a, b: (c(f"{a}.hash_code") == c(f"{b}.hash_code")) & (c(f"{a}.git_path") == c(f"{b}.git_path")) & c(f"{a}.repo_owner").eqNullSafe(c(f"{b}.repo_owner")) & c(f"{a}.repository").eqNullSafe(c(f"{b}.repository"))
-    out = found.alias("f").join(hit.alias("h"), on("f", "h"), "left").join(declared(file_metadata, contents, files).alias("d"), on("f", "d"), "left")
+    out = found.alias("f").join(hit.alias("h"), on("f", "h"), "left")
     return out.select(
         *[c(f"f.{k}") for k in REVISION], "declared", "kind", "package", "mined", F.coalesce("declared", (c("kind") != "") | c("package").isNotNull() | c("mined").isNotNull()).alias("is_case")
     )

@@ -102,6 +102,22 @@ def test_operator(spark):
     assert not {("app", "gone.js"), ("app", "z.txt"), ("app", "z.js"), ("app", None)} & set(m)
 
 
+def test_patterns_are_mined_from_declarations(spark):
+    code = lambda i: f"import a{i}\n\n\ndef part{i}(b):\n    return a{i}.use(b, {i})\n"
+    texts, fm = {"yes": "gen/** linguist-generated\n", "no": "made/** -linguist-generated\n"}, []
+    for i in range(12):
+        texts |= {f"g{i}": code(i), f"m{i}": f"# @generated by tool {i}\nx = {i}\n"}
+        fm += [("y", f"y{i}", ".gitattributes", "yes"), ("y", f"y{i}", f"gen/a{i}.py", f"g{i}"), ("n", f"n{i}", ".gitattributes", "no"), ("n", f"n{i}", f"made/a{i}.py", f"m{i}")]
+    texts |= {"plain": code(90), "other": code(91)}
+    # an undeclared repository carries files of these too: its texts' marks, or none, do not outweigh what is declared
+    fm += [("u", "u", "gen/plain.py", "plain"), ("u", "u", "gen/same.py", "g1"), ("u", "u", "made/other.py", "other"), ("u", "u", "made/same.py", "m1"), ("u", "u", "src/plain.py", "plain")]
+    f = spark.createDataFrame([(*r, 1, "c") for r in fm], FM)
+    m = {(r.repository, r.git_path): r for r in H.marks(f, spark.createDataFrame([(h, t, None) for h, t in texts.items()], CONTENTS)).collect()}
+    assert m["u", "gen/plain.py"].mined and m["u", "gen/plain.py"].is_case and m["u", "gen/same.py"].is_case
+    assert not m["u", "made/other.py"].mined and not m["u", "made/other.py"].is_case and not m["u", "src/plain.py"].is_case
+    assert not any(m[f"n{i}", f"made/a{i}.py"].is_case for i in range(12)) and all(m[f"y{i}", f"gen/a{i}.py"].is_case for i in range(12))
+
+
 def test_lines_joined_by_shuffling_give_the_same(spark, monkeypatch):
     want = rows(H.not_handwritten(H.marks(*corpus(spark))))
     monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
