@@ -38,12 +38,15 @@ TOOL_HEADER = re.compile(
     re.I | re.M,
 )
 LOCK = re.compile(r'"lockfileVersion"\s*:|^# (?:yarn|poetry) lock|\A\{\s*"_meta"\s*:\s*\{\s*"hash"', re.M)
+LOCK_KEY = re.compile(r'"lockfileVersion"\s*:')
 INTEGRITY = re.compile(r'"(?:integrity|resolved)"\s*:\s*"')
 BANNER = re.compile(
     r"\A(?:#!.*\n)?\ufeff?\s*(?:/\*[*!]?|//+|#)\s*(?:\*\s*)?([A-Za-z@][\w.@/-]*?)(?:\.js|\.py)?(?:,? -)? (?:(?:release|version) v?\d+(?:\.\d+)+,? .*?\bupstream\b"
     r"|v\d+(?:\.\d+)+\S* ?\|.{0,40}(?:free|licen[sc]e|shared|https?:)|v?\d+(?:\.\d+)+ - \(c\) )"
 )
 HEAD_CHARS = 1500
+# All comments above the first code, of any length (and the marker of a conflict that starts a text).
+LEADING = re.compile(r"\ufeff?(?:\s++|(?:#|//|<{7})[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|<!--(?:[^-]|-(?!->))*+(?:-->|\Z))*+")
 
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
 _DATA = re.compile(r"""(?:-?\b\d+(?:\.\d+)?\b[\s,\]\[]*){4,}|["'][A-Za-z0-9+/=]{40,}["']?,?|["'][0-9a-f]{6,}["']\s*:\s*\[[^\]\n]*\],?|(?<![\w/+])[A-Za-z0-9+/]{60,}={0,2}""")
@@ -64,10 +67,13 @@ def judge(text: str) -> tuple[str, str]:
     head = text[:HEAD_CHARS]
     m = BANNER.search(head)
     package = m[1].lower() if m else ""
-    if LOCK.search(head) or len(INTEGRITY.findall(text)) >= 3:
+    leading = LEADING.match(text)[0]
+    # a key of a lock file counts anywhere in an object, but not in code that handles such files
+    locked = text.startswith("{", len(leading)) and LOCK_KEY.search(text)
+    if locked or LOCK.search(head) or LOCK.search(leading) or len(INTEGRITY.findall(text)) >= 3:
         return "lock", package
     comments = "\n".join(line for line in head.split("\n")[:12] if line.lstrip().startswith(("#", "//", "/*", "*", "<!--")))
-    if TOOL_HEADER.search(comments) or "sourceMappingURL=" in text[-300:]:
+    if TOOL_HEADER.search(comments) or TOOL_HEADER.search(leading) or "sourceMappingURL=" in text[-300:]:
         return "generated", package
     n = len(text)
     if n < 60 or text.count("\ufffd") + text.count("\0") > n / 20:

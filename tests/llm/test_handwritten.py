@@ -37,6 +37,25 @@ def test_judge(text, kind):
     assert H.judge(text)[0] == kind
 
 
+LICENCE = [f"clause {i} of a licence that is granted to all" + " and any" * (i % 11) for i in range(60)]
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("".join(f"// {x}\n" for x in LICENCE) + "// @generated from a.schema\n" + HAND, "generated"),
+        ("/*\n" + "\n".join(LICENCE) + "\n*/\n\n/* Code generated by x-gen. DO NOT EDIT. */\n" + HAND, "generated"),
+        ("#!/usr/bin/python\n" + "".join(f"# {x}\n" for x in LICENCE) + "\n# AUTOGENERATED FILE\nimport a\n", "generated"),
+        ('{\n  "name": "a",\n  "scripts": {\n' + "".join(f'    "s{i}": "{x}",\n' for i, x in enumerate(LICENCE)) + '    "z": ""\n  },\n  "lockfileVersion": 1\n}\n', "lock"),
+        ("".join(f"// {x}\n" for x in LICENCE) + HAND, ""),
+        (HAND * 8 + "// @generated by a function of this file\n" + HAND, ""),
+        (HAND * 8 + "const lock = {\n  \"lockfileVersion\": 1\n};\n" + HAND, ""),
+    ],
+)
+def test_marks_behind_long_heads(text, kind):
+    assert len(text) > 1500 and H.judge(text)[0] == kind
+
+
 @pytest.mark.parametrize(
     "line, package",
     [("/*! quux v1.2.3 | free to share | https://quux.example */", "quux"), ("// quux.js release 2.1, upstream: q.example", "quux"), ("/* quux 4.5 - (c) the makers, shared freely */", "quux"), ("// quux notes, kept by hand", ""), ("/* Property of the guild. */", "")],
