@@ -12,8 +12,8 @@ from siltstone.sources.lake import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _store(s: SparkSession, d: str) -> seen.KeyStore:
-    return seen.ingest(table(s, d, "file_metadata"), table(s, d, "hash_index"))
+def _store(s: SparkSession, d: str, measure: bool) -> seen.KeyStore:
+    return seen.ingest(table(s, d, "file_metadata"), table(s, d, "hash_index"), measure=measure)
 
 
 def _marks(s: SparkSession, d: str) -> DataFrame:
@@ -21,8 +21,8 @@ def _marks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p1_found": lambda s, d: seen.seen_rows(table(s, d, "file_metadata"), _store(s, d)),
-    "p1_report": lambda s, d: seen.report(_store(s, d)),
+    "p1_found": lambda s, d: seen.seen_rows(table(s, d, "file_metadata"), _store(s, d, False)),
+    "p1_report": lambda s, d: seen.report(_store(s, d, True)),
     "p2_found": lambda s, d: spans.shared_spans(table(s, d, "contents")),
     "p2_amounts": lambda s, d: spans.shared_amounts(table(s, d, "contents")),
     "p4_found": lambda s, d: syntax.invalid_revisions(table(s, d, "file_metadata"), table(s, d, "contents")),

@@ -12,7 +12,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.hexes import hex_id
@@ -36,10 +36,10 @@ class Run:
 class KeyStore:
     """Keys with the arrival number of their first occurrence. ``hash_bits`` below 64 shortens the hashes (to study wrong
     answers of hashes alone); ``buckets`` is at least the session's number of shuffle partitions, so that joins with a run
-    leave it where it is."""
+    leave it where it is. ``measure`` counts the wrong answers of each batch for ``report``."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fanout: int = FANOUT, hash_bits: int = HASH_BITS):
-        self.spark, self.fanout, self.hash_bits = spark, fanout, hash_bits
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fanout: int = FANOUT, hash_bits: int = HASH_BITS, measure: bool = True):
+        self.spark, self.fanout, self.hash_bits, self.measure = spark, fanout, hash_bits, measure
         self.path = path or scratch(spark, "seen")
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.runs: list[Run] = []
@@ -100,15 +100,25 @@ class KeyStore:
         """Take a batch (key, arrival). Later batches must arrive later. Null keys are left out."""
         firsts = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("arrival").alias("first")).withColumn("kh", self._hash(F.col("key")))
         seen = Observation()
-        probed = self.probe(firsts).observe(
-            seen, F.count("*").alias("n_keys"), F.count_if("hash_hit").alias("hash_hits"), F.count_if("key_hit").alias("key_hits"), F.count_if(F.col("hash_hit") & ~F.col("key_hit")).alias("false_hits")
-        )
+        probed = self.probe(firsts)
+        counts = [F.count("*").alias("n_keys"), F.count_if("key_hit").alias("key_hits")]
+        if self.measure:
+            # a hash alone would also take a key for an earlier one of its own batch
+            earlier = F.row_number().over(Window.partitionBy("kh").orderBy("first", "key")) > 1
+            probed = probed.withColumn("hash_hit", F.col("hash_hit") | earlier)
+            met = self.firsts()
+            if met is None:
+                probed = probed.withColumn("met", F.lit(False))
+            else:  # by the keys themselves, without hashes and fences
+                probed = probed.join(met.select("key", F.lit(True).alias("met")).distinct(), "key", "left").withColumn("met", F.coalesce("met", F.lit(False)))
+            counts += [F.count_if("hash_hit").alias("hash_hits"), F.count_if(F.col("hash_hit") & ~F.col("met")).alias("false_hits"), F.count_if("met").alias("met"), F.count_if(F.col("met") != F.col("key_hit")).alias("wrong")]
+        probed = probed.observe(seen, *counts)
         self._write(probed.filter(~F.col("key_hit")), 0)
         self.metrics.append(seen.get)
         self._compact()
 
-    def firsts(self) -> DataFrame:
-        """key, first of all keys of the store."""
+    def firsts(self) -> DataFrame | None:
+        """key, first of all keys of the store; None if it has no run."""
         out = None
         for r in self.runs:
             t = self.spark.table(r.table).select("key", "first")
@@ -147,7 +157,9 @@ def seen_rows(file_metadata: DataFrame, store: KeyStore) -> DataFrame:
 
 
 def report(store: KeyStore) -> DataFrame:
-    """For each batch: distinct keys, hits of their hashes, hits of the full keys, and the rate of wrong answers that hashes
-    alone would have given among the keys not met before; after verification none is wrong."""
-    rows = [(i, m["n_keys"], m["hash_hits"], m["key_hits"], m["false_hits"], m["false_hits"] / max(1, m["n_keys"] - m["key_hits"]), 0.0) for i, m in enumerate(store.metrics)]
+    """For each batch of a store that measures: distinct keys, hits of their hashes (in earlier batches or by an earlier key of the
+    batch), hits of the full keys, the rate of wrong answers that hashes alone would have given among the keys not met before, and
+    the rate of wrong verified answers among all, against a join of the full keys. Of the records of a key not met before only the
+    first can get a wrong answer from a hash, so the first rate is also that among the records not seen before."""
+    rows = [(i, m["n_keys"], m["hash_hits"], m["key_hits"], m["false_hits"], m["false_hits"] / max(1, m["n_keys"] - m["met"]), m["wrong"] / max(1, m["n_keys"])) for i, m in enumerate(store.metrics)]
     return store.spark.createDataFrame(rows, "batch int, n_keys long, hash_hits long, key_hits long, false_hits long, hash_wrong_rate double, wrong_rate double")

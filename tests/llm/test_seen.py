@@ -36,6 +36,28 @@ def test_like_brute_force(spark, batches, fanout, bits):
     assert len(store.runs) <= 2 * fanout
 
 
+@pytest.mark.parametrize("batches, bits", [(1, 6), (3, 7)])
+def test_wrong_answers_of_hashes_like_brute_force(spark, batches, bits):
+    fm = spark.createDataFrame([(i, f"k{i // 2}") for i in range(240)], "row_id long, hash_code string")
+    store = seen.ingest(fm, fm.select("hash_code").limit(0), batches, fanout=2, hash_bits=bits)
+    kh = {r.key: r.kh for r in spark.createDataFrame([(f"k{i}",) for i in range(120)], "key string").withColumn("kh", store._hash(F.col("key"))).collect()}
+    have, wrong = set(), 0
+    for i in range(120):
+        wrong += kh[f"k{i}"] in have
+        have.add(kh[f"k{i}"])
+    report = seen.report(store).collect()
+    assert sum(r.false_hits for r in report) == wrong > 0 and all(r.wrong_rate == 0 for r in report)
+    if batches == 1:
+        assert report[1].hash_wrong_rate == wrong / 120
+
+
+def test_wrong_verified_answers_are_measured(spark, monkeypatch):
+    probe = seen.KeyStore.probe
+    monkeypatch.setattr(seen.KeyStore, "probe", lambda self, keys: probe(self, keys).withColumn("key_hit", F.col("hash_hit")))
+    fm = spark.createDataFrame([(i, f"k{i}") for i in range(120)], "row_id long, hash_code string")
+    assert any(r.wrong_rate > 0 for r in seen.report(seen.ingest(fm, fm.select("hash_code").limit(9), 2, hash_bits=6)).collect())
+
+
 def test_no_rows(spark):
     fm = spark.createDataFrame([], "row_id long, hash_code string")
     store = seen.ingest(fm, fm.select("hash_code"))
