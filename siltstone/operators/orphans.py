@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.hexes import hex_id
-from siltstone.operators.skew import salted_semi_join
+from siltstone.operators.skew import heavy_semi_join
+from siltstone.session import materialise
 
 #: (target table, its key, the referring column, whether a null reference is one to nothing and so an orphan)
 TARGETS = (("commit_messages", "commit_id", "commit_id", True), ("contents", "hash_code", "hash_code", False))
+#: The rows of a key with more references than this are not shuffled.
+HEAVY_REFS = 200_000
 
 
 def references(file_metadata: DataFrame) -> DataFrame:
@@ -62,17 +65,23 @@ def reference_state(file_metadata: DataFrame, commit_messages: DataFrame, conten
     return apply_deltas(None, reference_deltas(references(file_metadata)), *[existence_deltas(tables[t], t, k) for t, k, _, _ in TARGETS])
 
 
-def orphan_rows(refs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """The referring rows of orphan keys, of which one may be referred to by a large part of all rows."""
-    return salted_semi_join(refs, orphans, ["target_table", "key"], ["row_id"])
+def heavy_references(state: DataFrame, heavy: int = HEAVY_REFS) -> DataFrame:
+    """Keys with more than ``heavy`` references, at most one in so many rows, and whether they are orphans (found)."""
+    return state.filter(F.col("refs") > heavy).select("target_table", "key", (F.col("rows") <= 0).alias("found"))
 
 
-def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
+def orphan_rows(refs: DataFrame, state: DataFrame, heavy: int = HEAVY_REFS) -> DataFrame:
+    """The referring rows of the orphan keys of a state of these references, written beforehand. A key, orphan or not, may be
+    referred to by a large part of all rows."""
+    return heavy_semi_join(refs, orphan_keys(state), materialise(heavy_references(state, heavy), "heavy-references"), ["target_table", "key"])
+
+
+def orphan_report(refs: DataFrame, state: DataFrame) -> DataFrame:
     """Orphan references and distinct orphan keys per target table and month (UTC) of commit_time, beside all references of that
     month. A null commit_time has a null month."""
     month = lambda d: d.withColumn("month", F.date_format(F.timestamp_seconds("commit_time"), "yyyy-MM"))
     total = month(refs).groupBy("target_table", "month").agg(F.count("*").alias("n_references"))
-    lost = month(orphan_rows(refs, orphans)).groupBy("target_table", "month", "key").agg(F.count("*").alias("_n")).groupBy("target_table", "month").agg(F.sum("_n").alias("n_orphans"), F.count("*").alias("n_orphan_keys"))
+    lost = month(orphan_rows(refs, state)).groupBy("target_table", "month", "key").agg(F.count("*").alias("_n")).groupBy("target_table", "month").agg(F.sum("_n").alias("n_orphans"), F.count("*").alias("n_orphan_keys"))
     return (
         total.alias("t")
         .join(lost.alias("l"), (F.col("t.target_table") == F.col("l.target_table")) & F.col("t.month").eqNullSafe(F.col("l.month")), "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import checkpoint as C
 from siltstone.operators import counts, explore, fingerprint, history, imports, npm, orphans, skew, versions
+from siltstone.session import materialise
 from siltstone.sources.lake import file_metadata, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +57,7 @@ def _semi(data: DataFrame) -> DataFrame:
 def _orphans(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     fm = table(s, d, "file_metadata")
     state = orphans.reference_state(fm, table(s, d, "commit_messages"), table(s, d, "contents"))
-    return orphans.references(fm), orphans.orphan_keys(state)
+    return orphans.references(fm), materialise(state, "references")
 
 
 def _keys(s: SparkSession, d: str) -> DataFrame:
