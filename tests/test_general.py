@@ -32,15 +32,33 @@ def brute_versions(data):
     return out
 
 
+@pytest.mark.parametrize("heavy", [versions.HEAVY_ROWS, 120, 0])
 @pytest.mark.parametrize("span", [20, 1 << 22, 1 << 27])
-def test_versions_like_brute_force(spark, span):
+def test_versions_like_brute_force(spark, span, heavy):
     r = random.Random(span)
     data = [(r.choice("xyz"), r.choice(["a", "b", "c", None]), r.randrange(span), r.choice(["1", "2", None])) for _ in range(400)]
     data += data[:40] + [(None, "a", 3, "1"), (None, None, 9, "1"), ("n", "a", None, "1")]
-    got = versions.attribute_versions(spark.createDataFrame(data, SNAP).withColumn("_t", F.lit(0)), ["k"], "a", "t", "c")
+    got = versions.attribute_versions(spark.createDataFrame(data, SNAP).withColumn("_t", F.lit(0)), ["k"], "a", "t", "c", heavy=heavy)
     assert set(rows(got, "k", "a", "valid_from", "valid_to")) == brute_versions(data) and got.count() == len(brute_versions(data))
 
 
+@pytest.mark.parametrize("heavy", [versions.HEAVY_ROWS, 120, 0])
+def test_versions_of_restated_rows(spark, heavy):
+    r = random.Random(heavy)
+    data = [(r.choice(["x", "y", "z", None]), r.choice(["a", "b", None]), r.choice([None, *range(50)]), r.choice(["1", "2", "3", None])) for _ in range(500)]
+    least = {}
+    for k, a, t, c in data:
+        if t is not None:
+            least[k, a, c] = min(t, least.get((k, a, c), t))
+    got = versions.attribute_versions(spark.createDataFrame(data, SNAP), ["k"], "a", "t", "c", restated=True, heavy=heavy)
+    assert set(rows(got, "k", "a", "valid_from", "valid_to")) == brute_versions([(k, a, t, c) for (k, a, c), t in least.items()])
+
+
+def test_versions_shuffle_their_rows_once(spark):
+    plan = versions.attribute_versions(spark.createDataFrame([("x", "a", 1, "c")], SNAP), ["k"], "a", "t", "c", restated=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_versions_of_nothing(spark):
     assert versions.attribute_versions(spark.createDataFrame([], SNAP), ["k"], "a", "t", "c").count() == 0
 
@@ -50,32 +68,41 @@ def test_versions_at(spark):
     assert rows(versions.versions_at(v, 5), "a") == [("b",)] and rows(versions.versions_at(v, 4), "a") == [("a",)]
 
 
-KEYS = "field_name string, key_value string, at long"
+KEYS = "field_name string, key_value string, at long, row long"
 
 
 @pytest.mark.parametrize("partitions", [1, 7, 40])
 def test_per_key_like_brute_force(spark, partitions):
     r = random.Random(5)
-    data = [("f", "hot" if r.random() < 0.5 else str(r.randrange(30)), r.randrange(10_000)) for _ in range(3000)]
-    data += [("g", "hot", 7)] * 500 + [("f", None, 1), (None, "x", 1), ("f", "y", None)]
+    data = [("f", "hot" if r.random() < 0.5 else str(r.randrange(30)), r.randrange(10_000) if r.random() < 0.9 else None) for _ in range(3000)]
+    data += [("g", "hot", 7)] * 500 + [("f", None, 1), (None, "x", 1), ("f", "y", None), ("g", "z", None), ("g", "z", None)]
     by = {}
     for f, k, t in data:
-        if f and k and t is not None:
+        if f and k:
             by.setdefault((f, k), []).append(t)
-    want = {(*k, len(v), min(v), max(v), max((b - a for a, b in zip(sorted(v), sorted(v)[1:])), default=0)) for k, v in by.items()}
-    assert set(rows(skew.per_key(spark.createDataFrame(data, KEYS), partitions))) == want
+    want = set()
+    for k, v in by.items():
+        t = sorted(x for x in v if x is not None)
+        want.add((*k, len(v), t[0] if t else None, t[-1] if t else None, max((b - a for a, b in zip(t, t[1:])), default=0)))
+    df = spark.createDataFrame([(*d, i if i % 3 else None) for i, d in enumerate(data)], KEYS).withColumn("n_rows", F.lit("clash"))
+    assert set(rows(skew.per_key(df, partitions))) == want
 
 
-def test_a_heavy_key_is_split(spark):
-    df = spark.range(20_000).select(F.lit("f").alias("field_name"), F.lit("k").alias("key_value"), F.col("id").alias("at"))
-    sizes = [r[0] for r in df.repartitionByRange(8, "field_name", "key_value", "at").groupBy(F.spark_partition_id()).count().select("count").collect()]
-    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+@pytest.mark.parametrize("at", ["id", "7L", "CAST(NULL AS LONG)"])
+def test_a_heavy_key_is_split(spark, at):
+    heavy = spark.range(150_000).select(F.lit("f").alias("field_name"), F.lit("k").alias("key_value"), F.expr(at).alias("at"), F.col("id").alias("row"))
+    rest = spark.range(50_000).select(F.lit("f"), F.concat(F.lit("r"), F.col("id")), F.col("id"), F.col("id"))
+    df = skew.spread_by_key(heavy.union(rest), 8)
+    sizes = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 200_000 / 8
+    one = skew.per_key(heavy.union(rest), 8).filter("key_value = 'k'").first()
+    assert one.n_rows == 150_000 and one.first_at == heavy.agg(F.min("at")).first()[0]
 
 
 def test_heavy_keys_of_blank_and_odd_rows(spark):
-    fm = spark.createDataFrame([("o", " ", "AB ", 5), ("o", None, "ab", None), (None, "r", "", 1)], "repo_owner string, repository string, hash_code string, commit_time long")
-    found = skew.heavy_keys(skew.per_key(skew.revision_keys(fm)))
-    assert rows(found, "field_name", "key_value", "n_rows") == [("hash_code", "ab", 2), ("repo_owner", "o", 2), ("repository", "r", 1)]
+    fm = spark.createDataFrame([("o", " ", "AB ", 5, 1), ("o", None, "ab", None, 2), (None, "r", "", 1, None)], "repo_owner string, repository string, hash_code string, commit_time long, row_id long")
+    keys = skew.per_key(skew.revision_keys(fm))
+    assert rows(skew.heavy_keys(keys), "field_name", "key_value", "n_rows", "first_at") == [("hash_code", "ab", 2, 5), ("repo_owner", "o", 2, 5), ("repository", "r", 1, 1)]
     assert skew.heavy_keys(skew.per_key(skew.revision_keys(fm.limit(0)))).count() == 0
 
 
@@ -91,17 +118,27 @@ def tables(spark):
     return fm, cm, ct
 
 
-def test_orphans(spark):
+@pytest.mark.parametrize("heavy", [orphans.HEAVY_REFS, 1, 0])
+def test_orphans(spark, heavy):
     fm, cm, ct = tables(spark)
-    keys = orphans.orphan_keys(orphans.reference_state(fm, cm, ct))
+    state = orphans.reference_state(fm, cm, ct)
     refs = orphans.references(fm)
-    assert rows(orphans.orphan_rows(refs, keys), "target_table", "row_id") == [
+    assert rows(orphans.orphan_rows(refs, state, heavy), "target_table", "row_id") == [
         ("commit_messages", 3), ("commit_messages", 4), ("commit_messages", 5), ("contents", 1), ("contents", 3),
     ]
-    report = {(r.target_table, r.month): (r.n_references, r.n_orphans, r.n_orphan_keys) for r in orphans.orphan_report(refs, keys).collect()}
+    report = {(r.target_table, r.month): (r.n_references, r.n_orphans, r.n_orphan_keys) for r in orphans.orphan_report(refs, state).collect()}
     assert report["contents", "1970-01"] == (2, 2, 2) and report["contents", None] == (1, 0, 0) and report["commit_messages", "1970-02"] == (1, 0, 0)
 
 
+def test_rows_of_heavy_references_are_not_shuffled(spark):
+    fm = spark.range(1000).select(F.col("id").alias("row_id"), F.lit("gone").alias("commit_id"), F.when(F.col("id") % 2 == 0, F.lit("live")).alias("hash_code"), F.lit(0).cast("long").alias("commit_time"))
+    ct = spark.createDataFrame([("live", None)], "hash_code string, deleted_at timestamp")
+    state = orphans.reference_state(fm, ct.select(F.lit("x").alias("commit_id"), "deleted_at"), ct)
+    found = orphans.orphan_rows(orphans.references(fm), state, 100)
+    assert found.count() == 1000 and found.select("target_table").distinct().count() == 1
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_state_follows_deltas(spark):
     fm, cm, ct = tables(spark)
     state = orphans.reference_state(fm, cm, ct)
