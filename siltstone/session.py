@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -33,3 +34,32 @@ def materialise(df, name: str):
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def save_state(spark: SparkSession, folder: str, number: int, state: dict) -> None:
+    """Write ``state`` as version ``number`` of a folder's manifest. It is renamed into place, so that a reader sees it whole or not at
+    all; the version before the last one is removed."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    part, final = jvm.Path(f"{folder}/_writing-{uuid.uuid4().hex}"), jvm.Path(f"{folder}/manifest-{number:09}.json")
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(state).encode()))
+    out.close()
+    if not fs.rename(part, final):
+        raise OSError(f"{final} exists: the folder has another writer")
+    remove(spark, f"{folder}/manifest-{number - 2:09}.json")
+
+
+def load_state(spark: SparkSession, folder: str) -> tuple[int, dict]:
+    """Number and content of the newest version of a folder's manifest."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest-*.json")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    names = sorted(str(f.getPath().toString()) for f in found or [])
+    if not names:
+        raise FileNotFoundError(f"no manifest in {folder}")
+    return int(names[-1][-14:-5]), json.loads(spark.read.text(names[-1], wholetext=True).first()[0])
+
+
+def buckets_for(spark: SparkSession, rows: int, rows_each: int = 2_000_000) -> int:
+    """A number of buckets by the rows they are to hold, at least one for each core."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_each))
