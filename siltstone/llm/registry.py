@@ -13,7 +13,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _store(s: SparkSession, d: str, measure: bool) -> seen.KeyStore:
-    return seen.ingest(table(s, d, "file_metadata"), table(s, d, "hash_index"), measure=measure)
+    store = seen.ingest(table(s, d, "file_metadata"), table(s, d, "hash_index"), measure=measure)
+    store.close()
+    return store
 
 
 def _marks(s: SparkSession, d: str) -> DataFrame:
@@ -21,7 +23,7 @@ def _marks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p1_found": lambda s, d: seen.seen_rows(table(s, d, "file_metadata"), _store(s, d, False)),
+    "p1_found": lambda s, d: seen.seen_rows(_store(s, d, False)),
     "p1_report": lambda s, d: seen.report(_store(s, d, True)),
     "p2_found": lambda s, d: spans.shared_spans(table(s, d, "contents")),
     "p2_amounts": lambda s, d: spans.shared_amounts(table(s, d, "contents")),

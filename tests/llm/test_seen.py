@@ -1,6 +1,7 @@
 """The store of keys against brute force."""
 
 import random
+import re
 
 import pytest
 from helpers import rows
@@ -28,7 +29,7 @@ def test_like_brute_force(spark, batches, fanout, bits):
     fm = spark.createDataFrame(data, "row_id long, hash_code string").withColumn("key", F.lit("clash"))
     ix = spark.createDataFrame([(k,) for k in known], "hash_code string")
     store = seen.ingest(fm, ix, batches, fanout=fanout, hash_bits=bits)
-    assert {r[0] for r in rows(seen.seen_rows(fm, store))} == brute(data, known)
+    assert {r[0] for r in rows(seen.seen_rows(store))} == brute(data, known)
     report = seen.report(store).collect()
     assert len(report) == batches + 1 and all(r.wrong_rate == 0 for r in report)
     # short hashes meet where keys do not, and only the full key tells
@@ -53,7 +54,7 @@ def test_wrong_answers_of_hashes_like_brute_force(spark, batches, bits):
 
 def test_wrong_verified_answers_are_measured(spark, monkeypatch):
     probe = seen.KeyStore.probe
-    monkeypatch.setattr(seen.KeyStore, "probe", lambda self, keys: probe(self, keys).withColumn("key_hit", F.col("hash_hit")))
+    monkeypatch.setattr(seen.KeyStore, "probe", lambda self, keys, n: probe(self, keys, n).withColumn("key_hit", F.col("hash_hit")))
     fm = spark.createDataFrame([(i, f"k{i}") for i in range(120)], "row_id long, hash_code string")
     assert any(r.wrong_rate > 0 for r in seen.report(seen.ingest(fm, fm.select("hash_code").limit(9), 2, hash_bits=6)).collect())
 
@@ -61,18 +62,77 @@ def test_wrong_verified_answers_are_measured(spark, monkeypatch):
 def test_no_rows(spark):
     fm = spark.createDataFrame([], "row_id long, hash_code string")
     store = seen.ingest(fm, fm.select("hash_code"))
-    assert seen.seen_rows(fm, store).count() == 0
+    assert seen.seen_rows(store).count() == 0
 
 
-def test_runs_are_not_shuffled(spark):
-    keys = spark.range(100).select(F.col("id").cast("string").alias("key"), F.col("id").alias("arrival"))
-    store = seen.KeyStore(spark)
-    store.add(keys)
-    batch = keys.groupBy("key").agg(F.min("arrival").alias("first")).withColumn("kh", F.xxhash64("key"))
+def numbers(spark, a, b):
+    return spark.range(a, b).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("arrival"))
+
+
+def plan_of(df):
+    spark = df.sparkSession
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = store.probe(batch)._jdf.queryExecution().executedPlan().toString()
+        return df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    run = plan[plan.index("SortMergeJoin") :]
-    assert "Bucketed: true" in run and run.count("Exchange") <= 2  # the batch's own
+
+
+def test_neither_runs_nor_batches_in_place_are_shuffled(spark):
+    store = seen.KeyStore(spark, fanout=9)
+    for i in range(3):
+        store.add(numbers(spark, i * 50, i * 50 + 100))
+    plan = plan_of(store.probe(spark.table(store.runs[0].table), 10**9))
+    assert plan.count("Bucketed: true") == 4 and "SortMergeJoin" in plan and "Exchange" not in plan
+    merged = store._keys(store.runs).groupBy("kh", "key").agg(F.min("first").alias("first"))
+    assert "Exchange" not in plan_of(merged)
+    assert all(len(spark.table(r.table).inputFiles()) <= store.buckets for r in store.runs)
+    store.close()
+
+
+@pytest.mark.parametrize("point_keys", [0, 1000])
+def test_another_session_goes_on(spark, point_keys):
+    store = seen.KeyStore(spark, fanout=2, buckets=5, point_keys=point_keys)
+    assert store.add(numbers(spark, 0, 100)).count() == 0
+    assert store.add(numbers(spark, 80, 150).withColumn("arrival", F.col("arrival") + 1000)).count() == 20
+    store.close()
+    other = seen.KeyStore.open(spark.newSession(), store.path, point_keys=point_keys)
+    assert (other.buckets, other.fanout, other.hash_bits) == (5, 2, 64)
+    late = spark.createDataFrame([("k149", 3000), ("k150", 3001), ("k150", 3002), (None, 3003)], "key string, arrival long")
+    assert rows(other.add(late)) == [(3000,), (3002,)]
+    assert other.answers().count() == 22 and [m["n_keys"] for m in other.metrics] == [100, 70, 2]
+    other.close()
+    again = seen.KeyStore.open(spark, store.path)
+    assert again._keys(again.runs).count() == 151
+    again.close()
+
+
+def test_a_small_batch_opens_few_files(spark):
+    store = seen.KeyStore(spark, buckets=16, fanout=9)
+    store.add(numbers(spark, 0, 5000))
+    store.add(numbers(spark, 5000, 9000))
+    few = numbers(spark, 7, 9).select(F.xxhash64("key").alias("kh"), "key", F.col("arrival").alias("first"))
+    opened = lambda df: [int(n) for n in re.findall(r"SelectedBucketsCount: (\d+) out of 16", plan_of(df))]
+    assert len(opened(store.probe(few, 2))) == 2 and max(opened(store.probe(few, 2))) <= 2
+    assert all(n == 16 for n in opened(store.probe(few, 10**9)))
+    assert rows(store.lookup([r.kh for r in few.collect()]), "key") == [("k7",), ("k8",)]
+    # and gives the answers of a join with everything
+    assert store.add(numbers(spark, 8990, 9010).withColumn("arrival", F.col("arrival") + 10**6)).count() == 10
+    store.close()
+
+
+def test_a_second_writer_fails(spark):
+    store = seen.KeyStore(spark)
+    store.add(numbers(spark, 0, 5))
+    other = seen.KeyStore.open(spark, store.path)
+    store.add(numbers(spark, 5, 9))
+    with pytest.raises(OSError):
+        other.add(numbers(spark, 5, 9))
+    store.close()
+
+
+def test_nothing_stays_in_the_catalogue(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    store = seen.ingest(*(spark.createDataFrame([(1, "a")], "row_id long, hash_code string"),) * 2)
+    store.close()
+    assert {t.name for t in spark.catalog.listTables()} == before
