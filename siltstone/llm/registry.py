@@ -37,5 +37,6 @@ QUERIES: dict[str, Query] = {
     "p9_containers": lambda s, d: packing.document_containers(table(s, d, "documents")),
     "p9_fill": lambda s, d: packing.fill(packing.document_containers(table(s, d, "documents"))),
     "p10_found": lambda s, d: lookalike.lookalike_pairs(table(s, d, "documents")),
+    "p10_classes": lambda s, d: lookalike.lookalike_classes(table(s, d, "documents")),
     "p10_forms": lambda s, d: lookalike.consistent_texts(table(s, d, "documents")),
 }
