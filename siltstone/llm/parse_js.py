@@ -262,69 +262,188 @@ class _Lexer:
 
 
 _GROUP = re.compile(r"\(\?(?:[:=!]|<[=!]|<([A-Za-z_$][\w$]*)>|(?:[ims]*-?[ims]*):)?")
+_COUNT = re.compile(r"\{(\d+)(?:,(\d*))?\}")
+_U_ESCAPE = re.compile(r"u(?:[0-9a-fA-F]{4}|\{([0-9a-fA-F]+)\})|x[0-9a-fA-F]{2}|c[A-Za-z]|[pP]\{[\w=]+\}|k<([A-Za-z_$][\w$]*)>|0(?![0-9])|[1-9][0-9]*|[bBdDsSwWfnrtv^$\\.*+?()\[\]{}|/]")
+# What else may be escaped in a class, by flag, and what must be in a class of the flag v.
+_CLASS_ESCAPE = {"u": "-", "v": "-&!#%,:;<=>@`~"}
+_DOUBLED = re.compile(r"(&&|!!|##|\$\$|%%|\*\*|\+\+|,,|\.\.|::|;;|<<|==|>>|\?\?|@@|\^\^|``|~~)")
+
+
+class _BadRegex(Exception):
+    pass
+
+
+class _Regex:
+    """The rules of a regular expression's body. ``mode`` is u, v or ''."""
+
+    def __init__(self, body: str, mode: str):
+        self.body, self.mode = body, mode
+        self.names: list[str] = []
+        self.wanted: list[str] = []  # names referred to
+        self.groups = self.greatest = 0
+
+    def escape(self, i: int, inside: bool) -> tuple[int, int | None]:
+        """End of the escape at ``i``, and the character it stands for; None for a set of them."""
+        body = self.body
+        if not self.mode:
+            if body.startswith("k<", i + 1) and (m := re.compile(r"k<([^>]*)>").match(body, i + 1)):
+                self.wanted.append(m[1])
+            c = body[i + 1 : i + 2]
+            return i + 2, None if c in set("dDsSwWbBuxc0123456789pPk") else ord({"n": "\n", "r": "\r", "t": "\t", "v": "\v", "f": "\f"}.get(c, c or "\\"))
+        m = _U_ESCAPE.match(body, i + 1)
+        if m is None:
+            if inside and body[i + 1 : i + 2] in _CLASS_ESCAPE[self.mode]:
+                return i + 2, ord(body[i + 1])
+            if self.mode == "v" and inside and (q := re.compile(r"q\{[^}]*\}").match(body, i + 1)):
+                return q.end(), None
+            raise _BadRegex("bad escape in a regular expression")
+        e = m[0]
+        if m[1] and int(m[1], 16) > 0x10FFFF:
+            raise _BadRegex("bad escape in a regular expression")
+        if inside and (e[0] in "kB" or e[0] in "123456789"):
+            raise _BadRegex("bad escape in a regular expression")
+        if m[2]:
+            self.wanted.append(m[2])
+        elif e[0] in "123456789":
+            self.greatest = max(self.greatest, int(e))
+        if e[0] in "dDsSwWpPk" or not inside and e[0] in "bB":
+            return m.end(), None
+        known = {"n": 10, "r": 13, "t": 9, "v": 11, "f": 12, "b": 8, "0": 0}
+        return m.end(), int(m[1] or e[1:], 16) if e[0] in "ux" else ord(e[1]) % 32 if e[0] == "c" else known.get(e, ord(e[0]))
+
+    def one(self, i: int) -> tuple[int, int | None]:
+        """A character of a class."""
+        return self.escape(i, True) if self.body[i] == "\\" else (i + 1, ord(self.body[i]))
+
+    def plain_class(self, i: int) -> int:
+        """End of the class that begins at ``i``, whose nested brackets mean nothing."""
+        body, n = self.body, len(self.body)
+        i += 1 + body.startswith("^", i + 1)
+        while i < n and body[i] != "]":
+            i, a = self.one(i)
+            if i + 1 < n and body[i] == "-" and body[i + 1] != "]":
+                i, b = self.one(i + 1)
+                if a is None or b is None:
+                    if self.mode:
+                        raise _BadRegex("bad range in a regular expression")
+                elif a > b:
+                    raise _BadRegex("range out of order in a regular expression")
+        if i >= n:
+            raise _BadRegex("unterminated class in a regular expression")
+        return i + 1
+
+    def set_class(self, i: int) -> int:
+        """End of a class of the flag v, which may hold others and operators between them. Without calls, whatever the depth."""
+        body, n = self.body, len(self.body)
+        open_: list[list] = []  # of each class around: operator, whether an operand has just ended, number of operands
+        while True:
+            if i >= n:
+                raise _BadRegex("unterminated class in a regular expression")
+            c = body[i]
+            here = open_[-1] if open_ else None
+            pair = body[i : i + 2]
+            if c == "[":
+                if here and here[0] in ("--", "&&") and here[1]:
+                    raise _BadRegex("operators of a class mixed in a regular expression")
+                open_.append(["", False, 0])
+                i += 1 + body.startswith("^", i + 1)
+            elif c == "]":
+                if here[0] in ("--", "&&") and not here[1]:
+                    raise _BadRegex("operand missing in a class of a regular expression")
+                open_.pop()
+                i += 1
+                if not open_:
+                    return i
+                open_[-1][1], open_[-1][2] = True, open_[-1][2] + 1
+            elif pair in ("--", "&&"):
+                if not here[1] or here[0] not in ("", pair) or here[0] == "" and here[2] > 1:
+                    raise _BadRegex("operators of a class mixed in a regular expression")
+                here[0], here[1] = pair, False
+                i += 2
+            elif c in "()[]{}/-|" or _DOUBLED.match(body, i):
+                raise _BadRegex("character to be escaped in a class of a regular expression")
+            else:
+                if here[0] in ("--", "&&") and here[1]:
+                    raise _BadRegex("operators of a class mixed in a regular expression")
+                i, a = self.one(i)
+                if body.startswith("-", i) and not body.startswith("--", i) and i + 1 < n:
+                    i, b = self.one(i + 1)
+                    if a is None or b is None or here[0]:
+                        raise _BadRegex("bad range in a regular expression")
+                    if a > b:
+                        raise _BadRegex("range out of order in a regular expression")
+                    here[2] += 1  # a range is no operand
+                here[1], here[2] = True, here[2] + 1
+
+    def check(self) -> None:
+        body, n = self.body, len(self.body)
+        depth = i = 0
+        atom = False  # whether something stands here that can be repeated
+        looks: list[bool] = []  # of each group around: whether it is an assertion that can't be repeated
+        while i < n:
+            c = body[i]
+            if c == "\\":
+                end, _ = self.escape(i, False)
+                i, atom = end, not (self.mode and body[i + 1] in "bB")
+            elif c == "[":
+                i, atom = (self.set_class if self.mode == "v" else self.plain_class)(i), True
+            elif c == "(":
+                depth += 1
+                look = False
+                if body.startswith("(?", i):
+                    m = _GROUP.match(body, i)
+                    if m.end() == i + 2:
+                        raise _BadRegex("bad group in a regular expression")
+                    if m[1]:
+                        self.names.append(m[1])
+                        self.groups += 1
+                    look = m[0] in ("(?<=", "(?<!") or bool(self.mode) and m[0] in ("(?=", "(?!")
+                    i = m.end()
+                else:
+                    self.groups += 1
+                    i += 1
+                looks.append(look)
+                atom = False
+            elif c == ")":
+                depth -= 1
+                if depth < 0:
+                    raise _BadRegex("unmatched ) in a regular expression")
+                i, atom = i + 1, not looks.pop()
+            elif c in "*+?" or c == "{" and (q := _COUNT.match(body, i)):
+                if not atom:
+                    raise _BadRegex("nothing to repeat in a regular expression")
+                if c == "{":
+                    if q[2] and int(q[2]) < int(q[1]):
+                        raise _BadRegex("numbers out of order in a regular expression")
+                    i = q.end()
+                else:
+                    i += 1
+                if i < n and body[i] == "?":
+                    i += 1
+                atom = False
+            elif c == "|":
+                i, atom = i + 1, False
+            elif self.mode and c in "{}]":
+                raise _BadRegex("lone bracket in a regular expression")
+            else:
+                i, atom = i + 1, c not in "^$"
+        if depth:
+            raise _BadRegex("unterminated group in a regular expression")
+        if len(self.names) != len(set(self.names)) and "|" not in body:
+            raise _BadRegex("name of a group given twice")
+        if (self.mode or self.names) and set(self.wanted) - set(self.names) or self.greatest > self.groups:
+            raise _BadRegex("reference to no group in a regular expression")
 
 
 def _bad_regex(body: str, flags: str) -> str:
     """What forbids a regular expression, or ''."""
     if len(set(flags)) < len(flags) or set(flags) - set("dgimsuvy") or "u" in flags and "v" in flags:
         return "bad flags of a regular expression"
-    depth, i, n, names = 0, 0, len(body), []
-    atom = False  # whether something stands here that can be repeated
-    strict = "u" in flags or "v" in flags
-    while i < n:
-        c = body[i]
-        if c == "\\":
-            i += 2
-            atom = True
-        elif c == "[":
-            j = i + 1
-            while j < n and body[j] != "]":
-                j += 2 if body[j] == "\\" else 1
-            if not strict:
-                plain = re.sub(r"\\.", "\\\\", body[i + 1 : j])
-                for a, b in re.findall(r"([^\\])-([^\\\]])", plain.removeprefix("^")):
-                    if a > b:
-                        return "range out of order in a regular expression"
-                    break
-            i, atom = j + 1, True
-        elif c == "(":
-            depth += 1
-            if body.startswith("(?", i):
-                m = _GROUP.match(body, i)
-                if m.end() == i + 2:
-                    return "bad group in a regular expression"
-                if m[1]:
-                    names.append(m[1])
-                i = m.end()
-            else:
-                i += 1
-            atom = False
-        elif c == ")":
-            depth -= 1
-            if depth < 0:
-                return "unmatched ) in a regular expression"
-            i, atom = i + 1, True
-        elif c in "*+?" or c == "{" and (q := re.compile(r"\{(\d+)(?:,(\d*))?\}").match(body, i)):
-            if not atom:
-                return "nothing to repeat in a regular expression"
-            if c == "{":
-                if q[2] and int(q[2]) < int(q[1]):
-                    return "numbers out of order in a regular expression"
-                i = q.end()
-            else:
-                i += 1
-            if i < n and body[i] == "?":
-                i += 1
-            atom = False
-        elif c == "|":
-            i, atom = i + 1, False
-        elif strict and c in "{}]":
-            return "lone bracket in a regular expression"
-        else:
-            i, atom = i + 1, c not in "^$"
-    if depth:
-        return "unterminated group in a regular expression"
-    return "name of a group given twice" if len(names) != len(set(names)) and "|" not in body else ""
+    try:
+        _Regex(body, "u" if "u" in flags else "v" if "v" in flags else "").check()
+    except _BadRegex as e:
+        return str(e)
+    return ""
 
 
 class _Scope:

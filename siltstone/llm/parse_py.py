@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+# How deep the language lets brackets, indentation and formatted strings be nested.
+NESTED, INDENTED, FORMATTED = 200, 99, 149
 # Keywords, and operators with their precedence.
 KEYWORDS = frozenset(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or "
@@ -87,6 +89,7 @@ class _Lexer:
         self.errors: list[tuple[int, str]] = []
         if "\0" in text:
             self.errors.append((text.index("\0"), "null character"))
+        self.nested = self.formatted = 0  # brackets and formatted strings around
         pos = 1 if text.startswith("\ufeff") else 0
         self._run(pos, "")
         for _ in range(4):  # so that looking ahead needs no check
@@ -133,6 +136,8 @@ class _Lexer:
                         if flat <= top[1]:
                             self.errors.append((a, "tabs and spaces mixed"))
                         levels.append((wide, flat))
+                        if len(levels) == INDENTED + 2:
+                            self.errors.append((a, "too many levels of indentation"))
                         self._add("indent", pos, a)
                     else:
                         while len(levels) > 1 and wide < levels[-1][0]:
@@ -188,7 +193,11 @@ class _Lexer:
                 b = text[pos - 1]
                 if b in "([{":
                     stack.append(b)
+                    self.nested += 1
+                    if self.nested == NESTED + 1:
+                        self.errors.append((pos - 1, "too many nested brackets"))
                 elif stack:
+                    self.nested -= 1
                     if stack.pop() + b not in ("()", "[]", "{}"):
                         self.errors.append((pos - 1, "brackets that don't match"))
                 elif quote and b == "}":
@@ -254,7 +263,11 @@ class _Lexer:
     def _formatted(self, begin: int, pos: int, quote: str, raw: bool) -> int:
         text, n = self.text, len(self.text)
         self._add("FS", begin, pos)
+        self.formatted += 1
+        if self.formatted == FORMATTED + 1:
+            self.errors.append((begin, "too many nested formatted strings"))
         pos = self._literal(pos, quote, raw, False, begin)
+        self.formatted -= 1
         self._add("FE", pos, pos)
         return pos
 
@@ -289,7 +302,11 @@ class _Lexer:
                 if text.startswith("{{", pos) and not spec:
                     pos += 2
                     continue
+                around, self.nested = self.nested, self.nested + 1
+                if self.nested == NESTED + 1:
+                    self.errors.append((pos, "too many nested brackets"))
                 pos = self._replacement(pos + 1, quote, raw, begin)
+                self.nested = around
                 continue
             if c == "}":
                 if spec:

@@ -20,7 +20,9 @@ from siltstone.operators.skew import salted_semi_join
 
 LANGUAGES = {"js": "javascript", "mjs": "javascript", "json": "json", "py": "python"}
 PARSERS = {"javascript": parse_js.errors, "json": parse_json.errors, "python": parse_py.errors}
-DEPTH = 100_000  # of Python calls; they take no space on the machine's stack
+#: Python calls in one another, which take no space on the machine's stack: texts nested a few hundred thousand levels deep are
+#: parsed. What is deeper is no text an engine of the language would take, and is reported as such.
+DEPTH = 5_000_000
 SENT_ERRORS = 50_000  # a text may have as many errors as tokens: rows are handed on when they hold so many
 PARSED = "hash_code string, language string, n_errors int, first_position long, first_cause string, errors array<struct<position:long,cause:string>>"
 

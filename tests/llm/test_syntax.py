@@ -126,7 +126,10 @@ def test_no_error_is_dropped():
 
 def test_deep_and_long_texts():
     sys.setrecursionlimit(max(sys.getrecursionlimit(), syntax.DEPTH))
-    assert parse_js.errors("(" * 2000 + "a" + ")" * 2000) == []
+    n = 60_000
+    for code in ("(" * n + "a" + ")" * n, "[" * n + "]" * n, "{" * n + "}" * n, "x=" + "{a:" * n + "1" + "}" * n, "!" * n + "a", "if(a)" * n + ";", "f(" * n + ")" * n, "a=>" * n + "1", "function f(){" * n + "}" * n):
+        assert parse_js.errors(code) == [], code[:20]
+    assert parse_js.errors("(" * n + "a" + ")" * (n - 1))[0][1] == "unexpected end"
     assert parse_json.errors("[" * 50_000 + "]" * 50_000) == []
     assert parse_js.errors("a();\n" * 50_000) == [] and parse_py.errors("a = 1\n" * 50_000) == []
 
@@ -165,6 +168,35 @@ def test_python_like_the_language(seed):
         assert (parse_py.errors(s) == []) == python_takes(s), s
 
 
+def nested(n):
+    code = "1"
+    for _ in range(n):
+        code = "f'{" + code + "}'"
+    return code
+
+
+@pytest.mark.parametrize("n", [1, 98, 99, 100, 148, 149, 150, 199, 200, 201, 250])
+def test_python_nested_as_deep_as_the_language_takes(n):
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), syntax.DEPTH))
+    half = n // 2
+    for code in ("x=" + "(" * n + "1" + ")" * n, "[" * n + "]" * n, nested(n), "".join(" " * i + "if 1:\n" for i in range(n)) + " " * n + "a\n", "[" * half + "f'{" + "(" * half + "1" + ")" * half + "}'" + "]" * half, "f'{" + "(" * n + "1" + ")" * n + "}'", "()" * 300):
+        assert (parse_py.errors(code) == []) == python_takes(code), (n, code[:30])
+
+
+VALID_RE = [
+    r"/\u{10FFFF}/u", r"/[[a]--[b]]/v", r"/[[a-z]&&[aeiou]]/v", r"/[\p{L}--\q{a|b}]/v", r"/[\w-a]/", r"/[a-\d]/", r"/\u{110000}/", r"/(?<a>x)\k<a>/u", r"/\k<a>/", r"/(a)\1/u", r"/\-/", r"/[\-]/u", r"/[^]/",
+    r"/[]/", r"/(?=a)*/", r"/[a-z0-9_-]+/u", r"/a{,2}/", r"/[[a]b]/v", r"/[a-c&&b]/", r"/\cA/u", r"/[\b]/u", r"/[}\])]/g", r"/(?i:a)/", r"/[\w--\d]/v",
+]
+INVALID_RE = [
+    r"/\u{110000}/u", r"/[[a]--[b]/v", r"/[z-a]/", r"/[\w-a]/u", r"/\-/u", r"/(?<a>x)\k<b>/", r"/\k<a>/u", r"/\2(a)/u", r"/(?=a)*/u", r"/(?<=a)*/", r"/[(]/v", r"/[a--b&&c]/v", r"/a**/", r"/\p/u", r"/a/gg", r"/(/", r"/[A-@]/u", r"/{1}/",
+]
+
+
+def test_regular_expressions():
+    assert [r for r in VALID_RE if parse_js.errors("x = " + r)] == [] and [r for r in INVALID_RE if not parse_js.errors("x = " + r)] == []
+    assert parse_js.errors("x = /" + "[" * 50_000 + "a" + "]" * 50_000 + "/v") == []
+
+
 VALID_PY = [
     "match x:\n  case [1, *_] | {'a': b, **c} if d: pass\n  case C(x=1) as y: pass\n", "type X[T: int = str, *U, **P = []] = T\n", "def f[T](a, /, b=1, *, c, **d) -> int: ...\n",
     "with (a as b, c as d,): pass\n", "try: pass\nexcept* A as b: pass\n", "f'{a!r:>{b}} {c=} {d:{e}} {\"q\"}'\n", "x: int = yield\n", "print(*a, b=1, **c)\n", "[*a, *b]; {**a}; (yield)\n",
