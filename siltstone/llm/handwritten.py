@@ -1,9 +1,11 @@
 """Problem 5: generated, minified, third-party and bulk-data files among source files.
 
 Marks come from four sides, in this order. Attribute files of a repository decide about the paths they name, by glob precedence.
-The text shows headers of tools, lock files, minified code, tables of data, and banners of packages. Lines shared with known
+The text shows usual headers of tools, lock files, minified code, tables of data, and banners of packages. Lines shared with known
 package files show copies of them wherever they lie, altered or torn. Path patterns whose files are nearly all marked by then,
-in many repositories (or that package managers use), are mined and applied to the repositories that declare nothing.
+in many repositories (or that package managers use), are mined and applied to the repositories that declare nothing. Phrases of
+the comments above the code are patterns too: those that stand in nearly no file but generated ones are mined in the same way, so
+that headers of any wording are learned.
 """
 
 from __future__ import annotations
@@ -19,37 +21,39 @@ from pyspark.sql import functions as F
 from siltstone.functions.hexes import hex_id
 from siltstone.llm.attributes import parse
 from siltstone.llm.live import REVISION, live_contents, revisions
+from siltstone.operators.skew import sent_if_small
 from siltstone.session import materialise
 
 EXTENSIONS = ("js", "mjs", "json", "py", "css")
 #: A mined pattern must be marked in this share of its distinct contents, in at least so many repositories.
 MINED_SHARE, MINED_REPOSITORIES = 0.9, 4
+#: A mined phrase must stand in so many distinct contents at least.
+MINED_CONTENTS = 8
 #: A text is a package's if this share of its characters in telling lines is in lines of the package.
 CONTAINED, LINE_CHARS, TEXT_CHARS, BOILERPLATE_PACKAGES = 0.5, 15, 60, 3
-#: Lines of packages and mined patterns are sent to all executors up to so many rows, else joined by shuffling.
-BROADCAST_ROWS = 1_000_000
 
 # Folders in which package managers put packages.
 MANAGED = ("node_modules", "bower_components", ".bower-cache", "jspm_packages", "site-packages")
-# What tools write at the top of their output.
+# What tools by custom write at the top of their output.
 TOOL_HEADER = re.compile(
-    r"@generated\b|\bgenerated (?:by|from) .{0,80}\bdo not (?:edit|modify)|\bauto-?generated file\b|\bautomatically (?:produced|generated) (?:from|by)\b"
-    r"|\bbuilt with \S+ compiler\b|\bwritten by a machine\b|\bdo not edit(?: this file)?[.! ]*(?:it is|this is|generated|\*/|$)|[#@] sourceMappingURL=",
+    r"@generated\b|\bgenerated (?:by|from) .{0,80}\bdo not (?:edit|modify)|\bauto-?generated file\b|\bdo not edit(?: this file)?[.! ]*(?:it is|this is|generated|\*/|$)",
     re.I | re.M,
 )
-LOCK = re.compile(r'"lockfileVersion"\s*:|^# (?:yarn|poetry) lock|\A\{\s*"_meta"\s*:\s*\{\s*"hash"', re.M)
+SOURCE_MAP = re.compile(r"^[^\S\n]*(?:\S[^\n]*)?(?://|/\*)[#@] ?sourceMappingURL=", re.M)
+LOCK = re.compile(r"^# (?:yarn|poetry) lock", re.M)
+LOCK_START = re.compile(r'\{\s*"_meta"\s*:\s*\{\s*"hash"')
 LOCK_KEY = re.compile(r'"lockfileVersion"\s*:')
 INTEGRITY = re.compile(r'"(?:integrity|resolved)"\s*:\s*"')
+# A first comment of a name, a version, and where it is from.
 BANNER = re.compile(
-    r"\A(?:#!.*\n)?\ufeff?\s*(?:/\*[*!]?|//+|#)\s*(?:\*\s*)?([A-Za-z@][\w.@/-]*?)(?:\.js|\.py)?(?:,? -)? (?:(?:release|version) v?\d+(?:\.\d+)+,? .*?\bupstream\b"
-    r"|v\d+(?:\.\d+)+\S* ?\|.{0,40}(?:free|licen[sc]e|shared|https?:)|v?\d+(?:\.\d+)+ - \(c\) )"
+    r"\A(?:#!.*\n)?\ufeff?\s*(?:/\*[*!]?|//+|#)\s*(?:\*\s*)?([A-Za-z@][\w.@/-]*?)(?:\.js|\.py)?(?:,? -)? (?:(?:release|version) )?v?\d+(?:\.\d+)+\S*?\s*(?:,|\||-)\s*(?=[^\W\d_]|\()[^\n]{8,}"
 )
-HEAD_CHARS = 1500
-# All comments above the first code, of any length (and the marker of a conflict that starts a text).
-LEADING = re.compile(r"\ufeff?(?:\s++|(?:#|//|<{7})[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|<!--(?:[^-]|-(?!->))*+(?:-->|\Z))*+")
+# All comments above the first code, of any length (directives and the marker of a conflict are no code yet).
+LEADING = re.compile(r"\ufeff?(?:\s++|[\"']use strict[\"'];?+|(?:#|//|<{7})[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|<!--(?:[^-]|-(?!->))*+(?:-->|\Z))*+")
 
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
 _DATA = re.compile(r"""(?:-?\b\d+(?:\.\d+)?\b[\s,\]\[]*){4,}|["'][A-Za-z0-9+/=]{40,}["']?,?|["'][0-9a-f]{6,}["']\s*:\s*\[[^\]\n]*\],?|(?<![\w/+])[A-Za-z0-9+/]{60,}={0,2}""")
+_LETTERS = re.compile(r"[^\W\d_]+|@[a-z]+")
 _WORD, _NUMBER = re.compile(r"[A-Za-z_$][\w$]*"), re.compile(r"\d+")
 
 
@@ -64,16 +68,14 @@ def _repeats(text: str) -> bool:
 
 def judge(text: str) -> tuple[str, str]:
     """(kind, package): lock, generated, minified, data or '', and the package whose banner the text bears, or ''."""
-    head = text[:HEAD_CHARS]
-    m = BANNER.search(head)
+    m = BANNER.match(text)
     package = m[1].lower() if m else ""
     leading = LEADING.match(text)[0]
     # a key of a lock file counts anywhere in an object, but not in code that handles such files
-    locked = text.startswith("{", len(leading)) and LOCK_KEY.search(text)
-    if locked or LOCK.search(head) or LOCK.search(leading) or len(INTEGRITY.findall(text)) >= 3:
+    locked = text.startswith("{", len(leading)) and (LOCK_KEY.search(text) or LOCK_START.match(text, len(leading)))
+    if locked or LOCK.search(leading) or len(INTEGRITY.findall(text)) >= 3:
         return "lock", package
-    comments = "\n".join(line for line in head.split("\n")[:12] if line.lstrip().startswith(("#", "//", "/*", "*", "<!--")))
-    if TOOL_HEADER.search(comments) or TOOL_HEADER.search(leading) or "sourceMappingURL=" in text[-300:]:
+    if TOOL_HEADER.search(leading) or "sourceMappingURL=" in text and SOURCE_MAP.search(text):
         return "generated", package
     n = len(text)
     if n < 60 or text.count("\ufffd") + text.count("\0") > n / 20:
@@ -86,11 +88,23 @@ def judge(text: str) -> tuple[str, str]:
     return ("generated" if not text.lstrip().startswith(("{", "[", "<")) and _repeats(text) else ""), package
 
 
+def phrases(text: str) -> list[str]:
+    """The distinct pairs of words that follow each other in a line of the comments above the code."""
+    out = set()
+    for line in LEADING.match(text)[0].split("\n"):
+        words = _LETTERS.findall(line.lower())
+        out.update(map(" ".join, zip(words, words[1:])))
+    return sorted(out)
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [judge(t) for t in b.column(1).to_pylist()]
+        texts = b.column(1).to_pylist()
+        out = [judge(t) for t in texts]
         kinds, packages = zip(*out) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.string()), pa.array(packages, pa.string())], names=["hash_code", "kind", "banner"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(kinds, pa.string()), pa.array(packages, pa.string()), pa.array(map(phrases, texts), pa.list_(pa.string()))], names=["hash_code", "kind", "banner", "phrases"]
+        )
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +116,6 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def _sent_if_small(written: DataFrame) -> DataFrame:
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
-
-
 def declared(file_metadata: DataFrame, contents: DataFrame, files: DataFrame) -> DataFrame | None:
     """The files (REVISION) that an attribute file of their repository decides about: marked true or false; None if there are no
     attribute files. Each counts as it was last; a repository has few rules, so the join by repository is about as large as the files."""
@@ -115,7 +125,7 @@ def declared(file_metadata: DataFrame, contents: DataFrame, files: DataFrame) ->
     last = materialise(last.select("repo_owner", "repository", "git_path", c("_l.h").alias("hash_code")).filter(c("hash_code").isNotNull()), "attributes")
     if last.isEmpty():
         return None
-    wanted = contents.withColumn("_h", hex_id("hash_code")).join(_sent_if_small(last.select(c("hash_code").alias("_h")).distinct()), "_h", "left_semi")
+    wanted = contents.withColumn("_h", hex_id("hash_code")).join(sent_if_small(last.select(c("hash_code").alias("_h")).distinct()), "_h", "left_semi")
     rules = (
         last.join(live_contents(wanted), "hash_code")
         .select("repo_owner", "repository", "git_path", "text")
@@ -132,6 +142,11 @@ def _own(package: Column, repository: Column) -> Column:
     return plain(package) == plain(repository)
 
 
+def _named_like(package: Column, path: Column) -> Column:
+    """Whether a file's name begins with that of a package."""
+    return F.startswith(F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), F.regexp_replace(F.lower(package), r"[.-](js|py)$", ""))
+
+
 def managed_package(path: Column) -> Column:
     """The package below the innermost package manager's folder of a path, or null."""
     folders = "|".join(re.escape(m) for m in MANAGED)
@@ -153,11 +168,13 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 def contained_packages(texts: DataFrame, known: DataFrame) -> DataFrame:
     """hash_code, package of every text most of whose lines are lines of the package. ``known`` (hash_code, package) names the
-    files that are a package's. Lines of several packages are boilerplate and tell nothing."""
+    files that are a package's. Lines of several packages are boilerplate and tell nothing; the names under which one content is
+    carried count as one package there."""
     c = F.col
-    of = _lines(texts.join(known.select("hash_code").distinct(), "hash_code", "left_semi")).join(known, "hash_code").select("line", "package").distinct()
-    few = of.groupBy("line").agg(F.count("*").alias("_k")).filter(c("_k") < BOILERPLATE_PACKAGES).select("line")
-    of = _sent_if_small(materialise(of.join(few, "line"), "package-lines"))
+    named = known.join(known.groupBy("hash_code").agg(F.min("package").alias("family")), "hash_code")
+    of = materialise(_lines(texts.join(known.select("hash_code").distinct(), "hash_code", "left_semi")).join(named, "hash_code").select("line", "package", "family").distinct(), "lines")
+    few = of.select("line", "family").distinct().groupBy("line").agg(F.count("*").alias("_k")).filter(c("_k") < BOILERPLATE_PACKAGES).select("line")
+    of = sent_if_small(materialise(of.select("line", "package").distinct().join(few, "line"), "package-lines"))
     shared = _lines(texts).join(of, "line").groupBy("hash_code", "package").agg(F.sum("n").alias("_n"), F.max("all").alias("_all"))
     return shared.filter((c("_n") >= TEXT_CHARS) & (c("_n") >= CONTAINED * c("_all"))).select("hash_code", "package")
 
@@ -191,10 +208,22 @@ def mined_patterns(marked: DataFrame) -> DataFrame:
     return share.join(spread, "pattern").filter((c("_m") >= MINED_SHARE * c("_n")) & (c("_r") >= MINED_REPOSITORIES)).select("pattern", "_m", "_n", "_r")
 
 
+def mined_phrases(marked: DataFrame, heads: DataFrame) -> DataFrame:
+    """phrase, of files (repository, hash_code, kind, declared, mined, packaged) and the ``phrases`` of their contents. A phrase is judged
+    like a path pattern: by the distinct contents it stands in, packages' files left aside, and what attribute files, or else their
+    own headers and mined paths, say about those."""
+    c = F.col
+    told = F.coalesce((F.avg(c("declared").cast("int")) > 0.5), F.max((c("kind") == "generated") | c("mined").isNotNull()))
+    by_content = marked.groupBy("hash_code").agg(told.alias("m"), F.max("packaged").alias("packaged"), F.min("repository").alias("a"), F.max("repository").alias("b")).filter(~c("packaged"))
+    each = by_content.join(heads, "hash_code").select("m", "a", "b", F.explode("phrases").alias("phrase"))
+    counts = each.groupBy("phrase").agg(F.count("*").alias("_n"), F.count_if("m").alias("_m"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return counts.filter((c("_n") >= MINED_CONTENTS) & (c("_m") >= MINED_SHARE * c("_n")) & (c("a") != c("b"))).select("phrase", "_m", "_n")
+
+
 def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
     """Every distinct revision with a live content and one of EXTENSIONS, and its marks: declared (by an attribute file, null
     where none decides), kind (of the text), package (third party, null if none or the repository is the package's own),
-    mined (a mined pattern), and is_case.
+    mined (a mined pattern of its path), phrase (a mined phrase of its header), and is_case.
 
     An empty text has no marks of its own but may lie in a package's folder. Rows with a null path or hash are left out; a null
     owner or repository is a value like others, except that attribute files need both."""
@@ -202,28 +231,32 @@ def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
     files = revisions(file_metadata, EXTENSIONS)
     live = live_contents(contents)
     texts = materialise(live.join(files.select("hash_code").distinct(), "hash_code", "left_semi"), "texts")
-    judged = materialise(texts.mapInArrow(_judge, "hash_code string, kind string, banner string"), "judged")
-    rows = materialise(files.join(judged, "hash_code").withColumn("managed", managed_package(c("git_path"))), "files")
+    judged = materialise(texts.mapInArrow(_judge, "hash_code string, kind string, banner string, phrases array<string>"), "judged")
+    rows = materialise(files.join(judged.drop("phrases"), "hash_code").withColumn("managed", managed_package(c("git_path"))), "files")
 
     by_banner = rows.filter(c("banner") != "").select("hash_code", c("banner").alias("package"))
     by_folder = rows.filter(c("managed").isNotNull()).select("hash_code", c("managed").alias("package"))
     sure = by_banner.unionByName(by_folder).distinct()
-    # a package's own repository is named like it and bears its banner; a like name alone may be chance
-    homes = rows.filter((c("banner") != "") & _own(c("banner"), c("repository"))).select("repo_owner", "repository", c("banner").alias("package")).distinct()
-    own = rows.filter(c("managed").isNull() & (c("banner") == "")).join(homes, ["repo_owner", "repository"]).select("hash_code", "package")
+    # a package's own repository is named like it and has a file named like it that bears its banner, other than by a package
+    # manager; a like name alone may be chance
+    homes = rows.filter((c("banner") != "") & c("managed").isNull() & _own(c("banner"), c("repository")) & _named_like(c("banner"), c("git_path")))
+    homes = materialise(homes.select("repo_owner", "repository", c("banner").alias("package")).distinct(), "homes")
+    own = rows.filter(c("managed").isNull() & (c("banner") == "")).join(sent_if_small(homes), ["repo_owner", "repository"]).select("hash_code", "package")
     contained = contained_packages(texts, materialise(sure.unionByName(own).distinct(), "known"))
 
     # the banner and the contained packages of a content are few; a folder's package counts for the path alone
     by_content = by_banner.distinct().unionByName(contained).groupBy("hash_code").agg(F.collect_set("package").alias("packages"))
+    rows = rows.join(sent_if_small(homes.select("repo_owner", "repository").distinct()).withColumn("_is_home", F.lit(True)), ["repo_owner", "repository"], "left")
+    at_home = lambda p: F.coalesce(c("_is_home") & _own(p, c("repository")), F.lit(False))
     found = rows.join(by_content, "hash_code", "left").select(
         *REVISION,
         "kind",
         F.coalesce(
-            F.when(c("managed").isNotNull() & ~_own(c("managed"), F.coalesce("repository", F.lit(""))), c("managed")),
-            F.array_min(F.filter(F.coalesce("packages", F.array().cast("array<string>")), lambda p: ~_own(p, F.coalesce("repository", F.lit(""))))),
+            F.when(c("managed").isNotNull() & ~at_home(c("managed")), c("managed")),
+            F.array_min(F.filter(F.coalesce("packages", F.array().cast("array<string>")), lambda p: ~at_home(p))),
         ).alias("package"),
         F.coalesce(F.size("packages") > 0, F.lit(False)).alias("_packaged"),
-        F.coalesce(F.exists("packages", lambda p: _own(p, F.coalesce("repository", F.lit("")))), F.lit(False)).alias("_home"),
+        F.coalesce(F.exists("packages", at_home), F.lit(False)).alias("_home"),
     )
     found = materialise(found, "found")
     on = lambda a, b: (c(f"{a}.hash_code") == c(f"{b}.hash_code")) & (c(f"{a}.git_path") == c(f"{b}.git_path")) & c(f"{a}.repo_owner").eqNullSafe(c(f"{b}.repo_owner")) & c(f"{a}.repository").eqNullSafe(c(f"{b}.repository"))
@@ -234,11 +267,13 @@ def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
         found = materialise(found.alias("f").join(decided.alias("d"), on("f", "d"), "left").select("f.*", "declared"), "declared")
     mined = materialise(mined_patterns(found.select("repository", "git_path", "hash_code", "declared", ((c("kind") != "") | c("package").isNotNull() | c("_packaged")).alias("marked"))), "mined")
     # a package's files at home resemble those that are carried, and are none
-    hit = found.filter(~c("_home")).select(*REVISION, F.explode(patterns(c("git_path"))).alias("pattern")).join(_sent_if_small(mined.select("pattern")), "pattern").groupBy(*REVISION).agg(F.min("pattern").alias("mined"))
-    out = found.alias("f").join(hit.alias("h"), on("f", "h"), "left")
-    return out.select(
-        *[c(f"f.{k}") for k in REVISION], "declared", "kind", "package", "mined", F.coalesce("declared", (c("kind") != "") | c("package").isNotNull() | c("mined").isNotNull()).alias("is_case")
-    )
+    hit = found.filter(~c("_home")).select(*REVISION, F.explode(patterns(c("git_path"))).alias("pattern")).join(sent_if_small(mined.select("pattern")), "pattern").groupBy(*REVISION).agg(F.min("pattern").alias("mined"))
+    out = materialise(found.alias("f").join(hit.alias("h"), on("f", "h"), "left").select("f.*", "mined"), "mined-paths")
+    heads = judged.filter(F.size("phrases") > 0).select("hash_code", "phrases")
+    learned = materialise(mined_phrases(out.withColumn("packaged", c("package").isNotNull() | c("_packaged")), heads), "phrases")
+    worded = heads.select("hash_code", F.explode("phrases").alias("phrase")).join(sent_if_small(learned.select("phrase")), "phrase").groupBy("hash_code").agg(F.min("phrase").alias("phrase"))
+    case = F.coalesce("declared", (c("kind") != "") | c("package").isNotNull() | c("mined").isNotNull() | c("phrase").isNotNull())
+    return out.join(sent_if_small(materialise(worded, "worded")), "hash_code", "left").select(*REVISION, "declared", "kind", "package", "mined", "phrase", case.alias("is_case"))
 
 
 def not_handwritten(marked: DataFrame) -> DataFrame:

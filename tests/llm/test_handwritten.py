@@ -139,10 +139,94 @@ def test_patterns_are_mined_from_declarations(spark):
 
 def test_lines_joined_by_shuffling_give_the_same(spark, monkeypatch):
     want = rows(H.not_handwritten(H.marks(*corpus(spark))))
-    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(H, "sent_if_small", lambda df: df)
     assert rows(H.not_handwritten(H.marks(*corpus(spark)))) == want
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("{\n" + "".join(f'  "s{i}": "{x}",\n' for i, x in enumerate(LICENCE * 9)) + '  "lockfileVersion": 1\n}\n', "lock"),
+        (HAND * 9 + "//# sourceMappingURL=a.js.map\n" + HAND * 9, "generated"),
+        (HAND + ".a{}\n/*# sourceMappingURL=a.css.map */\n" + "\n" * 2000, "generated"),
+        (HAND + "const tag = 'sourceMappingURL=' + name;\n", ""),
+        ("'use strict';\n\n// @generated from a.schema\n" + HAND, "generated"),
+        ("#!/bin/sh\n" + "\n" * 3000 + "/* Code generated by x. DO NOT EDIT. */\n" + HAND, "generated"),
+    ],
+)
+def test_whole_texts_are_read(text, kind):
+    assert H.judge(text)[0] == kind
+
+
+def frames(spark, fm, texts):
+    return spark.createDataFrame([(*r, 1, "c") for r in fm], FM), spark.createDataFrame([(h, t, None) for h, t in texts.items()], CONTENTS)
+
+
+def told(spark, fm, texts):
+    return {(r.repo_owner, r.repository, r.git_path): r for r in H.marks(*frames(spark, fm, texts)).collect()}
+
+
+def code(i):
+    return f"// helper {i} of the service\nfunction part{i}(alpha) {{\n  return alpha.use{i}('the {i}th word of it');\n}}\n"
+
+
+def test_a_like_name_alone_is_no_home(spark):
+    # by chance a repository is named like a package that another one of its packages bears the banner of
+    lib = "/* quux 4.5 - (c) the makers, shared freely */\n" + code(1) + code(2)
+    texts = {"lib": lib} | {f"h{i}": code(i) + code(i + 50) for i in range(10, 20)}
+    fm = [("x", "quux-js", "node_modules/other/index.js", "lib"), *[("x", "quux-js", f"src/a{i}.js", f"h{i}") for i in range(10, 20)], *[("y", "app", f"lib/b{i}.js", f"h{i}") for i in range(10, 20)]]
+    m = told(spark, fm, texts)
+    assert [k[2] for k, r in m.items() if r.is_case] == ["node_modules/other/index.js"]
+
+
+def test_names_of_one_content_count_as_one_package(spark):
+    lib = "".join(code(i) for i in range(8))
+    texts = {"lib": lib, "torn": lib[: len(lib) // 2]}
+    fm = [("o", f"r{n}", f"node_modules/{n}/index.js", "lib") for n in ("aa", "bb", "cc", "dd")] + [("o", "app", "old/torn.js", "torn")]
+    assert told(spark, fm, texts)["o", "app", "old/torn.js"].package == "aa"
+
+
+def test_headers_of_any_wording_are_learned(spark):
+    # the wording stands in files below gen/ of many repositories, whose other files bear a usual header
+    texts, fm = {}, []
+    for i in range(40):
+        texts |= {f"u{i}-{j}": f"// @generated from s{i}\nx{i} = {j};\n" for j in range(9)} | {f"n{i}": f"// Spat out by the zork machine {i}\n" + code(i), f"h{i}": f"// Kept by the zork team {i}\n" + code(i + 100)}
+        fm += [*[("o", f"r{i % 8}", f"gen/u{i}x{j}.js", f"u{i}-{j}") for j in range(9)], ("o", f"r{i % 8}", f"src/h{i}.js", f"h{i}")]
+        fm.append(("o", f"r{i % 8}", f"gen/n{i}.js" if i < 36 else f"src/n{i}.js", f"n{i}"))
+    m = told(spark, fm, texts)
+    # learned below gen/, where nine in ten files are known, and found elsewhere
+    assert all(m["o", f"r{i % 8}", f"src/n{i}.js"].phrase for i in range(36, 40))
+    assert not any(m["o", f"r{i % 8}", f"src/h{i}.js"].is_case for i in range(40))
+
+
+def test_recall_and_precision_from_attribute_files(spark):
+    """Half of 60 repositories declare; the marks of the others are only mined. No text bears a mark of its own."""
+    import random
+
+    r = random.Random(7)
+    kinds = {"gen/**": "gen/{}.py", "*_stub.py": "api/{}_stub.py", "third/**": "third/pkg/{}.py"}
+    texts, fm, truth = {}, [], set()
+    for n in range(60):
+        if n < 30:
+            texts[f"att{n}"] = "".join(f"{g} linguist-{'vendored' if g[0] == 't' else 'generated'}\n" for g in kinds) + "gen/keep*.py -linguist-generated\n"
+            fm.append((f"o{n}", f"r{n}", ".gitattributes", f"att{n}"))
+        for j in range(12):
+            h = f"{n}-{j}"
+            texts[h] = f"import a{n}\n\n\ndef part{j}(b):\n    return a{n}.use(b, {r.randrange(10**6)})\n"
+            made = j < 6
+            path = r.choice(list(kinds.values())).format(f"m{n}x{j}") if made else f"src/{r.choice(['core', 'lib', 'app'])}/m{n}x{j}.py"
+            fm.append((f"o{n}", f"r{n}", path, h))
+            if made:
+                truth.add((f"o{n}", f"r{n}", path))
+    m = told(spark, fm, texts)
+    found = {k for k, x in m.items() if x.is_case}
+    undeclared = {k for k in truth if int(k[0][1:]) >= 30}
+    assert found <= truth and {k for k in truth if k not in undeclared} <= found
+    # a name's last part is a pattern as a folder is
+    assert len(found & undeclared) >= 0.95 * len(undeclared)
+    assert all(m[k].mined and m[k].declared is None for k in found & undeclared)
+
+
 def test_no_rows(spark):
     fm, ct = corpus(spark)
     assert H.marks(fm.limit(0), ct).count() == 0 and H.marks(fm, ct.limit(0)).count() == 0
