@@ -25,8 +25,10 @@ from siltstone.operators.skew import sent_if_small
 from siltstone.session import materialise
 
 EXTENSIONS = ("js", "mjs", "json", "py", "css")
-#: A mined pattern must be marked in this share of its distinct contents, in at least so many repositories.
+#: A mined pattern must be marked in this share of its distinct contents, in at least so many repositories. These are told apart by
+#: 64 classes of their names' hashes, so that their number is one integer; few repositories may count as one less.
 MINED_SHARE, MINED_REPOSITORIES = 0.9, 4
+REPOSITORY_BIT = "shiftleft(1L, CAST(pmod(xxhash64(repository), 64) AS INT))"
 #: A mined phrase must stand in so many distinct contents at least.
 MINED_CONTENTS = 8
 #: A text is a package's if this share of its characters in telling lines is in lines of the package.
@@ -116,9 +118,10 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def declared(file_metadata: DataFrame, contents: DataFrame, files: DataFrame) -> DataFrame | None:
-    """The files (REVISION) that an attribute file of their repository decides about: marked true or false; None if there are no
-    attribute files. Each counts as it was last; a repository has few rules, so the join by repository is about as large as the files."""
+def declared(file_metadata: DataFrame, contents: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The files (REVISION) that an attribute file of their repository decides about, marked true or false, and the repositories that
+    declare anything (repo_owner, repository); None if there are no attribute files. Each counts as it was last; a repository has
+    few rules, so the join by repository is about as large as the files."""
     c = F.col
     attributes = file_metadata.filter(F.lower("git_path").rlike(r"(^|/)\.gitattributes$"))
     last = attributes.groupBy("repo_owner", "repository", "git_path").agg(F.max(F.struct("commit_time", "commit_id", hex_id("hash_code").alias("h"))).alias("_l"))
@@ -131,9 +134,10 @@ def declared(file_metadata: DataFrame, contents: DataFrame, files: DataFrame) ->
         .select("repo_owner", "repository", "git_path", "text")
         .mapInArrow(_rules, "repo_owner string, repository string, regex string, mark string, value boolean, depth int, line int")
     )
-    hits = files.select(*REVISION).join(rules, ["repo_owner", "repository"]).filter(F.expr("git_path RLIKE regex"))
+    rules = materialise(rules, "rules")
+    hits = files.select(*REVISION).join(sent_if_small(rules), ["repo_owner", "repository"]).filter(F.expr("git_path RLIKE regex"))
     each = hits.groupBy(*REVISION, "mark").agg(F.max(F.struct("depth", "line", "value")).alias("_r"))
-    return each.filter(c("_r.value").isNotNull()).groupBy(*REVISION).agg(F.max("_r.value").alias("declared"))
+    return each.filter(c("_r.value").isNotNull()).groupBy(*REVISION).agg(F.max("_r.value").alias("declared")), rules.select("repo_owner", "repository").distinct()
 
 
 def _own(package: Column, repository: Column) -> Column:
@@ -196,16 +200,23 @@ def patterns(path: Column) -> Column:
 
 
 def mined_patterns(marked: DataFrame) -> DataFrame:
-    """pattern, of files (repository, git_path, hash_code, declared, marked). A pattern is judged by the distinct contents of its
-    files, so that a popular file counts once: by what most of the attribute files that decide about them say, and by their
-    texts' marks where none does."""
+    """pattern, of files (repository, git_path, hash_code, declares, declared, marked). A pattern is judged by the distinct contents of
+    its files, so that a popular file counts once.
+
+    Where enough repositories that declare something have the pattern, they alone judge it: by what most of them say about a
+    content, or its text's marks where their attribute files are silent. Elsewhere the texts' marks judge it in all."""
     c = F.col
-    each = marked.select("repository", "hash_code", "declared", "marked", F.explode(patterns(c("git_path"))).alias("pattern"))
-    by_content = each.groupBy("pattern", "hash_code").agg(F.coalesce((F.avg(c("declared").cast("int")) > 0.5).cast("int"), F.max(c("marked").cast("int"))).alias("m"))
-    share = by_content.groupBy("pattern").agg(F.sum("m").alias("_m"), F.count("*").alias("_n"))
-    # distinct repositories of a pattern, combined before the shuffle
-    spread = each.select("pattern", "repository").distinct().groupBy("pattern").agg(F.count("*").alias("_r"))
-    return share.join(spread, "pattern").filter((c("_m") >= MINED_SHARE * c("_n")) & (c("_r") >= MINED_REPOSITORIES)).select("pattern", "_m", "_n", "_r")
+    bit = F.expr(REPOSITORY_BIT)
+    said = F.when(c("declares"), F.coalesce("declared", "marked").cast("int"))
+    each = marked.select("hash_code", bit.alias("bit"), F.when(c("declares"), bit).otherwise(F.lit(0).cast("long")).alias("said_bit"), said.alias("said"), c("marked").cast("int").alias("marked"), F.explode(patterns(c("git_path"))).alias("pattern"))
+    by_content = each.groupBy("pattern", "hash_code").agg(F.avg("said").alias("said"), F.max("marked").alias("marked"), F.bit_or("bit").alias("bit"), F.bit_or("said_bit").alias("said_bit"))
+    told = c("said") > 0.5
+    share = by_content.groupBy("pattern").agg(
+        F.count("*").alias("_n"), F.count_if(F.coalesce(told, c("marked") == 1)).alias("_m"), F.count("said").alias("_said_n"), F.count_if(told).alias("_said_m"), F.bit_or("bit").alias("bit"), F.bit_or("said_bit").alias("said_bit")
+    )
+    enough = F.bit_count("said_bit") >= MINED_REPOSITORIES
+    by_all = (c("_m") >= MINED_SHARE * c("_n")) & (F.bit_count("bit") >= MINED_REPOSITORIES)
+    return share.filter(F.when(enough, c("_said_m") >= MINED_SHARE * c("_said_n")).otherwise(by_all)).select("pattern", "_m", "_n")
 
 
 def mined_phrases(marked: DataFrame, heads: DataFrame) -> DataFrame:
@@ -213,11 +224,12 @@ def mined_phrases(marked: DataFrame, heads: DataFrame) -> DataFrame:
     like a path pattern: by the distinct contents it stands in, packages' files left aside, and what attribute files, or else their
     own headers and mined paths, say about those."""
     c = F.col
+    bit = F.expr(REPOSITORY_BIT)
     told = F.coalesce((F.avg(c("declared").cast("int")) > 0.5), F.max((c("kind") == "generated") | c("mined").isNotNull()))
-    by_content = marked.groupBy("hash_code").agg(told.alias("m"), F.max("packaged").alias("packaged"), F.min("repository").alias("a"), F.max("repository").alias("b")).filter(~c("packaged"))
-    each = by_content.join(heads, "hash_code").select("m", "a", "b", F.explode("phrases").alias("phrase"))
-    counts = each.groupBy("phrase").agg(F.count("*").alias("_n"), F.count_if("m").alias("_m"), F.min("a").alias("a"), F.max("b").alias("b"))
-    return counts.filter((c("_n") >= MINED_CONTENTS) & (c("_m") >= MINED_SHARE * c("_n")) & (c("a") != c("b"))).select("phrase", "_m", "_n")
+    by_content = marked.groupBy("hash_code").agg(told.alias("m"), F.max("packaged").alias("packaged"), F.bit_or(bit).alias("bit")).filter(~c("packaged"))
+    each = by_content.join(heads, "hash_code").select("m", "bit", F.explode("phrases").alias("phrase"))
+    counts = each.groupBy("phrase").agg(F.count("*").alias("_n"), F.count_if("m").alias("_m"), F.bit_or("bit").alias("bit"))
+    return counts.filter((c("_n") >= MINED_CONTENTS) & (c("_m") >= MINED_SHARE * c("_n")) & (F.bit_count("bit") >= MINED_REPOSITORIES)).select("phrase", "_m", "_n")
 
 
 def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
@@ -262,10 +274,13 @@ def marks(file_metadata: DataFrame, contents: DataFrame) -> DataFrame:
     on = lambda a, b: (c(f"{a}.hash_code") == c(f"{b}.hash_code")) & (c(f"{a}.git_path") == c(f"{b}.git_path")) & c(f"{a}.repo_owner").eqNullSafe(c(f"{b}.repo_owner")) & c(f"{a}.repository").eqNullSafe(c(f"{b}.repository"))
     decided = declared(file_metadata, contents, files)
     if decided is None:
-        found = found.withColumn("declared", F.lit(None).cast("boolean"))
+        found = found.withColumns({"declared": F.lit(None).cast("boolean"), "declares": F.lit(False)})
     else:
-        found = materialise(found.alias("f").join(decided.alias("d"), on("f", "d"), "left").select("f.*", "declared"), "declared")
-    mined = materialise(mined_patterns(found.select("repository", "git_path", "hash_code", "declared", ((c("kind") != "") | c("package").isNotNull() | c("_packaged")).alias("marked"))), "mined")
+        decided, repositories = decided
+        found = found.alias("f").join(decided.alias("d"), on("f", "d"), "left").select("f.*", "declared")
+        found = found.join(sent_if_small(repositories).withColumn("declares", F.lit(True)), ["repo_owner", "repository"], "left").withColumn("declares", F.coalesce("declares", F.lit(False)))
+        found = materialise(found, "declared")
+    mined = materialise(mined_patterns(found.select("repository", "git_path", "hash_code", "declares", "declared", ((c("kind") != "") | c("package").isNotNull() | c("_packaged")).alias("marked"))), "mined")
     # a package's files at home resemble those that are carried, and are none
     hit = found.filter(~c("_home")).select(*REVISION, F.explode(patterns(c("git_path"))).alias("pattern")).join(sent_if_small(mined.select("pattern")), "pattern").groupBy(*REVISION).agg(F.min("pattern").alias("mined"))
     out = materialise(found.alias("f").join(hit.alias("h"), on("f", "h"), "left").select("f.*", "mined"), "mined-paths")
