@@ -5,39 +5,50 @@ rightmost of equal ones. Equal windows name equal anchors, so a window can only
 position in eighty is an anchor. A posting is an anchor with the range of window starts that name it.
 
 The index keeps, for each anchor hash, the least and greatest record and the number of postings, in sorted immutable runs. A new
-batch becomes a run, is merge-joined with the runs before it (both lie bucketed by hash, so only the batch moves), and says which
-hashes occur in several records; runs of a level are compacted when there are ``fanout`` of them.
+batch becomes a run, is merge-joined with the runs before it (all lie in the same buckets by hash, so only the batch moves), and says
+which hashes occur in several records; runs of a level are merged where they lie when there are ``fanout`` of them. A manifest lists
+what belongs to the index, which another session can open and go on with.
 
 Postings of such hashes are settled in two steps. Postings whose whole surroundings (all windows that name the anchor) also occur
-in another record are shared as a whole. Those left lie at the edge of what is shared: their texts are read again, and window by
-window verified against the others of the same anchor. Groups of more than ``group`` texts, and anchors with very many postings,
-take a way on which every window is a row of its own, combined before the shuffle; the result is the same.
+in another record are shared as a whole: surroundings are compared by 128-bit BLAKE2b digests of their text, of which no two
+different texts with one digest are known. Those left lie at the edge of what is shared: their texts are read again, and window by
+window compared with the others of the same anchor. There a 64-bit hash only proposes; characters decide. Groups of more than
+``group`` texts, and anchors of more than ``hot`` postings, take a way on which every window is a row of its own, named by such a
+digest and combined before the shuffle; the result is the same.
+
+``shared_stretches`` settles all hashes that are shared, or only those that the last batch has brought or met again. What the
+batches give one after the other adds up to the whole, so that each batch costs what it touches.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.hexes import hex_id
 from siltstone.llm.live import live_contents
-from siltstone.session import materialise, remove, scratch
+from siltstone.operators.skew import BROADCAST_ROWS, sent_if_small
+from siltstone.session import buckets_for, load_state, materialise, remove, save_state, scratch
 
 SPAN, GRAM = 200, 32
 BATCHES, FANOUT = 3, 3
-GROUP, HOT_POSTINGS, HOT_SHARE, SALTS = 20_000, 50_000, 1e-4, 16
+GROUP, HOT_POSTINGS, SALTS = 20_000, 50_000, 16
+TEXTS = 100_000  # records of a bucket
+NUMBER_BITS = 64
+COMPARED = 1 << 22  # characters compared at once
 BLOCK = 1 << 20  # characters that are hashed at once
 CHUNK = 8_000  # texts that are verified at once, besides the rest of a group
 
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = 0x9E3779B97F4A7C15
 
 
 @lru_cache(4)
@@ -57,7 +68,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Hashes:
     """Hashes of any stretch of a text in constant time."""
 
-    def __init__(self, codes: np.ndarray, base: int):
+    def __init__(self, codes: np.ndarray, base: int = _BASE):
         n = len(codes)
         up, self.down = _powers(base, 1 << max(20, int(n).bit_length()))
         self.sums = np.zeros(n + 1, _U)
@@ -67,6 +78,10 @@ class _Hashes:
         return (self.sums[b] - self.sums[a]) * self.down[a]
 
 
+def _digest(text: str, lead: int = 0) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, salt=lead.to_bytes(4, "little")).digest()
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
 
@@ -90,16 +105,16 @@ def _rightmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(texts: list[str], span: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text number, hash, surroundings, first window start, windows, lead) of the postings of some texts. lead is the anchor's
-    place behind the first start; surroundings is a hash of all the windows' text and the lead."""
-    codes = _codes("".join(texts))
+    place behind the first start; surroundings is a digest of all the windows' text and the lead."""
+    joined = "".join(texts)
+    codes = _codes(joined)
     lengths = np.array([len(t) for t in texts])
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     empty = np.zeros(0, np.int64)
     if len(codes) < span:
         return empty, empty, empty, empty, empty, empty
-    h = _Hashes(codes, _BASES[0])
     i = np.arange(len(codes) - gram + 1)
-    values = _mix(h.of(i, i + gram))
+    values = _mix(_Hashes(codes).of(i, i + gram))
     at = _rightmost_least(values, span - gram + 1)
     # windows that lie within one text
     inside = np.zeros(len(codes) + 1, np.int64)
@@ -116,11 +131,11 @@ def anchors(texts: list[str], span: int, gram: int) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(starts)) - 1
     a, b, t = starts[first], starts[last], text[first]
     lead = at[a] - a
-    around = _mix(h.of(a, b + span) + lead.astype(_U) * _U(_BASES[1]) + (b - a).astype(_U))
-    return t, values[at[a]].view(np.int64), around.view(np.int64), a - offsets[t], b - a + 1, lead
+    around = np.array([_digest(joined[x:y], z) for x, y, z in zip(a.tolist(), (b + span).tolist(), lead.tolist())], object)
+    return t, values[at[a]].view(np.int64), around, a - offsets[t], b - a + 1, lead
 
 
-_POSTING = "rec long, fp long, around long, place long"
+_POSTING = "rec long, fp long, around binary, place long"
 
 
 def _postings(span: int, gram: int):
@@ -149,7 +164,8 @@ def _postings(span: int, gram: int):
             for recs, offsets, texts in pieces(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t, fp, around, start, count, lead = anchors(texts, span, gram)
                 place = ((start + np.array(offsets, np.int64)[t]) << 32) | (count << 16) | lead
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array(recs, np.int64)[t], fp, around, place)], names=["rec", "fp", "around", "place"])
+                cols = [pa.array(np.array(recs, np.int64)[t]), pa.array(fp), pa.array(around, pa.binary()), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(cols, names=["rec", "fp", "around", "place"])
 
     return run
 
@@ -162,20 +178,42 @@ class Run:
 
 
 class SpanIndex:
-    """Postings of all records taken so far, and the runs of anchor hashes."""
+    """Postings of all records taken so far, and the runs of anchor hashes. ``buckets`` is fixed for the life of an index and should
+    suit the number of records it is to hold. One writer at a time: a second one fails when it writes its manifest."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, gram: int = GRAM, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, path: str | None = None, span: int = SPAN, gram: int = GRAM, fanout: int = FANOUT, buckets: int | None = None):
         if not 0 < gram <= span or span - gram >= 1 << 16:
             raise ValueError("gram must be from 1 to span, and span - gram below 65536")
         self.spark, self.span, self.gram, self.fanout = spark, span, gram, fanout
         self.path = path or scratch(spark, "spans")
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or buckets_for(spark, 0)
         self.runs: list[Run] = []
         self.parts: list[str] = []
         self.shared: list[str] = []
+        self.number = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SpanIndex:
+        """The index that a session, this or another, has left in ``path``."""
+        number, state = load_state(spark, path)
+        index = cls(spark, path, state["span"], state["gram"], state["fanout"], state["buckets"])
+        index.number, index.parts, index.shared = number, state["parts"], state["shared"]
+        for r in state["runs"]:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {r['table']} (fp BIGINT, least BIGINT, greatest BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS LOCATION '{r['path']}'")
+            index.runs.append(Run(**r))
+        return index
+
+    def close(self) -> None:
+        """Take the runs out of the session's catalogue; the files stay."""
+        for r in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r.table}")
+
+    def _save(self) -> None:
+        self.number += 1
+        save_state(self.spark, self.path, self.number, {"span": self.span, "gram": self.gram, "fanout": self.fanout, "buckets": self.buckets, "runs": [asdict(r) for r in self.runs], "parts": self.parts, "shared": self.shared})
 
     def _write(self, entries: DataFrame, level: int) -> Run:
-        """A run (fp, least, greatest, n), one row per hash, bucketed and sorted by it. ``entries`` are partitioned by fp."""
+        """A run (fp, least, greatest, n), one row per hash, of rows that lie in the index's buckets."""
         name = f"spans_{uuid.uuid4().hex}"
         path = f"{self.path}/run-{level}-{name}"
         entries.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).option("compression", "zstd").saveAsTable(name)
@@ -189,20 +227,21 @@ class SpanIndex:
 
     def add(self, texts: DataFrame) -> None:
         """Take a batch (rec, text) of records that are not in the index yet."""
-        part = f"{self.path}/postings-{len(self.parts)}"
+        part = f"{self.path}/postings-{len(self.parts)}-{uuid.uuid4().hex}"
         texts.select("rec", "text").filter(F.length("text") >= self.span).mapInArrow(_postings(self.span, self.gram), _POSTING).write.option("compression", "zstd").parquet(part)
         self.parts.append(part)
         rows = self.spark.read.schema(_POSTING).parquet(part)
-        run = self._write(rows.groupBy("fp").agg(F.min("rec").alias("least"), F.max("rec").alias("greatest"), F.count("*").alias("n")), 0)
-        new = self.spark.table(run.table)
-        hits = new.filter("least < greatest").select("fp")
+        # the postings of a hash are combined before the shuffle
+        run = self._write(rows.groupBy("fp").agg(F.min("rec").alias("least"), F.max("rec").alias("greatest"), F.count("*").alias("n")).repartition(self.buckets, "fp"), 0)
+        every = self.spark.table(run.table).withColumn("_new", F.lit(True))
         for old in self.runs:
-            o = self.spark.table(old.table).select("fp", F.col("least").alias("_l"), F.col("greatest").alias("_g"))
-            hits = hits.unionByName(new.join(o, "fp").filter("least <> _l OR greatest <> _g").select("fp"))
-        found = f"{self.path}/shared-{len(self.shared)}"
-        hits.distinct().write.parquet(found)
+            every = every.unionByName(self.spark.table(old.table).withColumn("_new", F.lit(False)))
+        hits = every.groupBy("fp").agg(F.min("least").alias("_l"), F.max("greatest").alias("_g"), F.max("_new").alias("_new")).filter("_new AND _l < _g").select("fp")
+        found = f"{self.path}/shared-{len(self.shared)}-{uuid.uuid4().hex}"
+        hits.write.parquet(found)
         self.shared.append(found)
         self.runs.append(run)
+        self._save()
         self._compact()
 
     def _compact(self) -> None:
@@ -210,19 +249,21 @@ class SpanIndex:
         while any(r.level >= level for r in self.runs):
             old = [r for r in self.runs if r.level == level]
             if len(old) >= self.fanout:
-                self.runs.append(self._write(self._merged([r.table for r in old]), level + 1))
+                merged = self._write(self._merged([r.table for r in old]), level + 1)
+                self.runs = [r for r in self.runs if r.level != level] + [merged]
+                self._save()
                 for r in old:
-                    self.runs.remove(r)
-                    self.spark.sql(f"DROP TABLE {r.table}")
+                    self.spark.sql(f"DROP TABLE IF EXISTS {r.table}")
                     remove(self.spark, r.path)
             level += 1
 
     def postings(self) -> DataFrame:
         return self.spark.read.schema(_POSTING).parquet(*self.parts)
 
-    def shared_hashes(self) -> DataFrame:
-        """fp of the anchors that stand in several records, as the merge joins found them."""
-        return self.spark.read.schema("fp long").parquet(*self.shared).distinct()
+    def shared_hashes(self, last: bool = False) -> DataFrame:
+        """fp of the anchors that stand in several records, as the merge joins found them; with ``last`` those that the last batch
+        has."""
+        return self.spark.read.schema("fp long").parquet(*(self.shared[-1:] if last else self.shared)).distinct()
 
     def hot_hashes(self, least: int) -> DataFrame:
         """fp of the anchors with at least ``least`` postings."""
@@ -232,31 +273,75 @@ class SpanIndex:
 
 
 def _windows(texts: list[str], span: int) -> tuple[np.ndarray, ...]:
-    """(text number, start, two hashes) of every window."""
+    """(text number, start, place in the joined texts) of every window."""
     lengths = np.array([len(t) for t in texts])
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     counts = np.maximum(lengths - span + 1, 0)
     text = np.repeat(np.arange(len(texts)), counts)
     start = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = offsets[text] + start
-    codes = _codes("".join(texts))
-    a, b = (_Hashes(codes, base).of(at, at + span) for base in _BASES)
-    return text, start, _mix(a), _mix(b)
+    return text, start, offsets[text] + start
+
+
+def _differing(codes: np.ndarray, at: np.ndarray, other: np.ndarray, span: int) -> np.ndarray:
+    """Numbers of the windows (at ``at``) whose characters are not those at ``other``. Windows that follow each other at one distance
+    from their others are compared as one stretch."""
+    i = np.flatnonzero(at != other)
+    if not len(i):
+        return i
+    a, d = at[i], at[i] - other[i]
+    new = np.ones(len(i), bool)
+    new[1:] = (np.diff(a) != 1) | (np.diff(d) != 0)
+    first = np.flatnonzero(new)
+    lengths = a[np.append(first[1:], len(i)) - 1] - a[first] + span
+    bad = []
+    ends = np.cumsum(lengths)
+    lo = 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COMPARED, "right")))
+        n = lengths[lo:hi]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[first[lo:hi]], n)
+        wrong = np.flatnonzero(codes[place] != codes[place - np.repeat(d[first[lo:hi]], n)])
+        if len(wrong):
+            # all windows of the stretch that reach over a wrong character
+            of = np.searchsorted(np.cumsum(n), wrong, "right") + lo
+            for k, p in zip(of.tolist(), place[wrong].tolist()):
+                w = np.arange(first[k], first[k + 1] if k + 1 < len(first) else len(i))
+                bad.append(i[w[(a[w] <= p) & (a[w] + span > p)]])
+        lo = hi
+    return np.unique(np.concatenate(bad)) if bad else np.zeros(0, np.int64)
+
+
+def _groups(texts: list[str], span: int) -> tuple[np.ndarray, ...]:
+    """(text number, start, group) of every window; windows are in one group if and only if they have the same characters."""
+    text, start, at = _windows(texts, span)
+    if not len(text):
+        return text, start, text
+    joined = "".join(texts)
+    codes = _codes(joined)
+    h = _Hashes(codes).of(at, at + span)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    bad = _differing(codes, at, at[order[np.flatnonzero(new)]][group], span)
+    if len(bad):  # different windows met under one hash: theirs are grouped by their characters
+        names: dict[tuple[int, str], int] = {}
+        n = int(new.sum())
+        for i in np.flatnonzero(np.isin(group, group[bad])).tolist():
+            group[i] = n + names.setdefault((int(group[i]), joined[at[i] : at[i] + span]), len(names))
+    return text, start, group
 
 
 def _edges(recs: np.ndarray, starts: np.ndarray, several: np.ndarray, texts: list[str], span: int) -> list[np.ndarray]:
     """(rec, start, end) of the stretches of shared windows of the texts that are not in ``several`` records as a whole."""
-    text, start, h1, h2 = _windows(texts, span)
+    text, start, group = _groups(texts, span)
     if not len(text):
         return [np.zeros(0, np.int64)] * 3
-    order = np.argsort(h1, kind="stable")
-    s1, s2 = h1[order], h2[order]
+    order = np.argsort(group, kind="stable")
+    g = group[order]
     new = np.ones(len(order), bool)
-    new[1:] = s1[1:] != s1[:-1]
-    if (~new[1:] & (s2[1:] != s2[:-1])).any():  # two different windows met under one hash
-        order = np.lexsort((h2, h1))
-        s1, s2 = h1[order], h2[order]
-        new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+    new[1:] = g[1:] != g[:-1]
     first = np.flatnonzero(new)
     who = recs[text[order]]
     many = (np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)) | np.logical_or.reduceat(several[text[order]], first)
@@ -303,15 +388,16 @@ def _verify(span: int):
 
 
 def _explode(span: int):
-    """Batches (rec, start, several, text) to a row for every window: rec, at, h1, h2, several."""
+    """Batches (rec, start, several, text) to a row for every window: rec, at, window (a digest), several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                rec, start, several, texts = (c.to_pylist() for c in b.slice(lo, 2000).columns)
-                text, at, h1, h2 = _windows(texts, span)
-                cols = [np.array(rec, np.int64)[text], np.array(start, np.int64)[text] + at, h1.view(np.int64), h2.view(np.int64), np.array(several, bool)[text]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["rec", "at", "h1", "h2", "several"])
+            for lo in range(0, b.num_rows, 500):
+                rec, start, several, texts = (c.to_pylist() for c in b.slice(lo, 500).columns)
+                text, at, _ = _windows(texts, span)
+                names = [_digest(texts[t][i : i + span]) for t, i in zip(text.tolist(), at.tolist())]
+                cols = [pa.array(np.array(rec, np.int64)[text]), pa.array(np.array(start, np.int64)[text] + at), pa.array(names, pa.binary()), pa.array(np.array(several, bool)[text])]
+                yield pa.RecordBatch.from_arrays(cols, names=["rec", "at", "window", "several"])
 
     return run
 
@@ -321,20 +407,33 @@ def _unpacked(rows: DataFrame, span: int) -> DataFrame:
     return rows.withColumn("start", F.shiftright(p, 32)).withColumn("chars", F.shiftright(p, 16).bitwiseAND(F.lit(0xFFFF)) + span - 1)
 
 
-def shared_stretches(index: SpanIndex, texts: DataFrame, group: int = GROUP, hot: int = HOT_POSTINGS) -> DataFrame:
+def _split_hot(postings: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of other anchors and of hot ones. The list of hot anchors, written beforehand, grows with the data: where it is
+    too long to be sent to all executors, it is joined once per salt, so that no anchor's postings meet in one task."""
+    if hot.count() <= BROADCAST_ROWS:
+        return postings.join(F.broadcast(hot), "fp", "left_anti"), postings.join(F.broadcast(hot), "fp", "left_semi")
+    salted = postings.withColumn("_salt", F.pmod(F.xxhash64("rec", "place"), F.lit(SALTS)).cast("int"))
+    each = hot.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return salted.join(each, ["fp", "_salt"], "left_anti").drop("_salt"), salted.join(each, ["fp", "_salt"], "left_semi").drop("_salt")
+
+
+def shared_stretches(index: SpanIndex, texts: DataFrame, group: int = GROUP, hot: int = HOT_POSTINGS, last: bool = False) -> DataFrame:
     """rec, span_start, span_end: the maximal stretches of each record in ``texts`` (rec, text, all that the index has) whose
-    positions lie in windows that another record has too."""
+    positions lie in windows that another record has too.
+
+    With ``last`` only anchors of the last batch are settled: the stretches, in new records and in earlier ones, that it has brought
+    or met again. Stretches of batches are put together by ``joined_stretches``."""
     c = F.col
     span, spark = index.span, index.spark
-    postings = index.postings()
-    total = postings.count()
-    hot_list = materialise(index.hot_hashes(max(hot, int(total * HOT_SHARE))), "hot")  # at most 1 / HOT_SHARE rows
+    wanted = index.shared_hashes(last)
+    hot_list = index.hot_hashes(hot)  # one anchor in ``hot`` postings at most
+    hot_list = materialise(hot_list.join(wanted, "fp", "left_semi") if last else hot_list, "hot")
     any_hot = not hot_list.isEmpty()
-    cold = postings.join(F.broadcast(hot_list), "fp", "left_anti") if any_hot else postings
+    cold, heavy = _split_hot(index.postings(), hot_list) if any_hot else (index.postings(), None)
     by_around, by_fp = Window.partitionBy("fp", "around"), Window.partitionBy("fp")
     # everything below lies partitioned by fp; a group has less than the hot number of rows
     settled = (
-        cold.join(index.shared_hashes(), "fp", "left_semi")
+        cold.join(wanted, "fp", "left_semi")
         .withColumn("several", F.min("rec").over(by_around) != F.max("rec").over(by_around))
         .withColumn("_nth", F.row_number().over(by_around.orderBy("rec", "place")))
         .withColumn("_lone", F.max(~c("several")).over(by_fp))
@@ -355,32 +454,55 @@ def shared_stretches(index: SpanIndex, texts: DataFrame, group: int = GROUP, hot
     if any_hot or any_large:
         rest = opened.join(large, "fp", "left_semi").select("rec", "start", "chars", "several")
         if any_hot:
-            rest = rest.unionByName(_unpacked(postings.join(F.broadcast(hot_list), "fp", "left_semi"), span).select("rec", "start", "chars", F.lit(False).alias("several")))
-        windows = text(rest).select("rec", "start", "several", "text").mapInArrow(_explode(span), "rec long, at long, h1 long, h2 long, several boolean")
+            rest = rest.unionByName(_unpacked(heavy, span).select("rec", "start", "chars", F.lit(False).alias("several")))
+        windows = text(rest).select("rec", "start", "several", "text").mapInArrow(_explode(span), "rec long, at long, window binary, several boolean")
         windows = materialise(windows, "windows")
         # combined before the shuffle, so that a window of any number of records is one row per task
-        both = windows.groupBy("h1", "h2").agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.max("several").alias("s")).filter("a <> b OR s")
+        both = windows.groupBy("window").agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.max("several").alias("s")).filter("a <> b OR s")
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        hits = windows.filter(~c("several")).withColumn("_salt", F.pmod(F.xxhash64("rec"), F.lit(SALTS)).cast("int")).join(both.select("h1", "h2", salts.alias("_salt")), ["h1", "h2", "_salt"], "left_semi")
+        hits = windows.filter(~c("several")).withColumn("_salt", F.pmod(F.xxhash64("rec"), F.lit(SALTS)).cast("int")).join(both.select("window", salts.alias("_salt")), ["window", "_salt"], "left_semi")
         out = out.unionByName(hits.select("rec", c("at").alias("span_start"), (c("at") + span).alias("span_end")))
 
+    return joined_stretches(out)
+
+
+def joined_stretches(found: DataFrame) -> DataFrame:
+    """rec, span_start, span_end: stretches of each record that touch or overlap put together."""
     ordered = Window.partitionBy("rec").orderBy("span_start", "span_end")
     reach = F.max("span_end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    apart = out.withColumn("_new", F.when(c("span_start") <= reach, 0).otherwise(1))
+    apart = found.withColumn("_new", F.when(F.col("span_start") <= reach, 0).otherwise(1))
     islands = apart.withColumn("_island", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy("rec", "_island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("_island")
 
 
-def _records(spark: SparkSession, contents: DataFrame, buckets: int) -> DataFrame:
-    """rec, hash_code, text of the live contents, written once, bucketed by rec. Rows of a content are combined before the one
-    shuffle of the texts, which also brings them to their buckets. Should two hashes ever have one number, the job fails."""
-    name = f"records_{uuid.uuid4().hex}"
+def _number(code: Column, tries: Column) -> Column:
+    """A number of a record, by its hash code and how often others had the same number before."""
+    n = F.when(tries == 0, F.xxhash64(code)).otherwise(F.xxhash64(code, tries))
+    return F.shiftrightunsigned(n, 64 - NUMBER_BITS) if NUMBER_BITS < 64 else n
+
+
+def _records(spark: SparkSession, contents: DataFrame, buckets: int) -> tuple[DataFrame, str]:
+    """rec, hash_code, text of the live contents, written once, bucketed by rec, and the table's name. Rows of a content are combined
+    before the one shuffle of the texts, which also brings them to their buckets. Should two hash codes ever have one number, both
+    are numbered again and the table is written anew."""
     code = hex_id("hash_code")
     rows = contents.filter(F.col("deleted_at").isNull() & code.isNotNull()).select(code.alias("hash_code"), F.coalesce("contents", F.lit("")).alias("text"))
-    one = rows.groupBy(F.xxhash64("hash_code").alias("rec")).agg(F.min("hash_code").alias("hash_code"), F.max("hash_code").alias("_other"), F.max("text").alias("text"))
-    alone = F.when(F.col("hash_code") == F.col("_other"), F.col("text")).otherwise(F.raise_error(F.lit("two contents under one record number")))
-    one.select("rec", "hash_code", alone.alias("text")).write.bucketBy(buckets, "rec").option("path", scratch(spark, "records")).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    moved, tries = None, 0
+    while True:
+        name, path = f"records_{uuid.uuid4().hex}", scratch(spark, "records")
+        known = rows.withColumn("_tries", F.lit(0)) if moved is None else rows.join(sent_if_small(moved), "hash_code", "left").withColumn("_tries", F.coalesce("_tries", F.lit(0)))
+        numbered = known.withColumn("rec", _number(F.col("hash_code"), F.col("_tries")))
+        one = numbered.groupBy("rec").agg(F.min("hash_code").alias("hash_code"), F.max("hash_code").alias("other"), F.max("text").alias("text"))
+        one.repartition(buckets, "rec").write.bucketBy(buckets, "rec").option("path", path).option("compression", "zstd").saveAsTable(name)
+        clashed = spark.table(name).filter("hash_code <> other").select("rec")
+        if clashed.isEmpty():
+            return spark.table(name).drop("other"), name
+        tries += 1
+        again = numbered.join(clashed, "rec", "left_semi").select("hash_code").distinct().withColumn("_tries", F.lit(tries))
+        earlier = again if moved is None else moved.join(again, "hash_code", "left_anti").unionByName(again)
+        moved = materialise(earlier, "renumbered")
+        spark.sql(f"DROP TABLE {name}")
+        remove(spark, path)
 
 
 def shared_spans(contents: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int = GRAM, **options) -> DataFrame:
@@ -388,14 +510,17 @@ def shared_spans(contents: DataFrame, batches: int = BATCHES, span: int = SPAN,
     stand verbatim in a content with another hash. Positions are code points from 0, the end is exclusive.
 
     Repeats within one content alone do not count. Contents shorter than ``span``, empty and null ones have none; repeated rows
-    of a content count once. Other columns are ignored. Records are named by a 64-bit hash of hash_code."""
+    of a content count once. Other columns are ignored. The result is written before it is returned."""
     spark = contents.sparkSession
-    index = SpanIndex(spark, span=span, gram=gram)
-    records = _records(spark, contents, index.buckets)
+    index = SpanIndex(spark, span=span, gram=gram, buckets=buckets_for(spark, contents.count(), TEXTS))
+    records, name = _records(spark, contents, index.buckets)
     for i in range(batches):
         index.add(records.filter(F.pmod(F.shiftrightunsigned("rec", 20), F.lit(batches)) == i))
     found = shared_stretches(index, records, **options)
-    return found.join(records.select("rec", "hash_code"), "rec").select("hash_code", "span_start", "span_end")
+    result = materialise(found.join(records.select("rec", "hash_code"), "rec").select("hash_code", "span_start", "span_end"), "shared-spans")
+    index.close()
+    spark.sql(f"DROP TABLE {name}")
+    return result
 
 
 def shared_amounts(contents: DataFrame, **options) -> DataFrame:
