@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +65,16 @@ def load_state(spark: SparkSession, folder: str) -> tuple[int, dict]:
 def buckets_for(spark: SparkSession, rows: int, rows_each: int = 2_000_000) -> int:
     """A number of buckets by the rows they are to hold, at least one for each core."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // rows_each))
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, what is written is shuffled to ``n`` partitions: an aggregate over a table's bucket column then comes out in as many
+    buckets, and needs no second shuffle."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
