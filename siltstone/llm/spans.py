@@ -10,8 +10,8 @@ which hashes occur in several records; runs of a level are merged where they lie
 what belongs to the index, which another session can open and go on with.
 
 Postings of such hashes are settled in two steps. Postings whose whole surroundings (all windows that name the anchor) also occur
-in another record are shared as a whole: surroundings are compared by 128-bit BLAKE2b digests of their text, of which no two
-different texts with one digest are known. Those left lie at the edge of what is shared: their texts are read again, and window by
+in another record are shared as a whole: surroundings are compared by 128 bits of their text's SHA-256 digest, for which no two
+different texts that agree can be found. Those left lie at the edge of what is shared: their texts are read again, and window by
 window compared with the others of the same anchor. There a 64-bit hash only proposes; characters decide. Groups of more than
 ``group`` texts, and anchors of more than ``hot`` postings, take a way on which every window is a row of its own, named by such a
 digest and combined before the shuffle; the result is the same.
@@ -26,7 +26,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import lru_cache
-from hashlib import blake2b
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.hexes import hex_id
 from siltstone.llm.live import live_contents
 from siltstone.operators.skew import BROADCAST_ROWS, sent_if_small
-from siltstone.session import buckets_for, load_state, materialise, remove, save_state, scratch
+from siltstone.session import buckets_for, load_state, materialise, remove, save_state, scratch, shuffle_partitions
 
 SPAN, GRAM = 200, 32
 BATCHES, FANOUT = 3, 3
@@ -45,6 +45,7 @@ TEXTS = 100_000  # records of a bucket
 NUMBER_BITS = 64
 COMPARED = 1 << 22  # characters compared at once
 BLOCK = 1 << 20  # characters that are hashed at once
+PLACES = 1 << 24  # characters of a block, at most
 CHUNK = 8_000  # texts that are verified at once, besides the rest of a group
 
 _U = np.uint64
@@ -78,8 +79,8 @@ class _Hashes:
         return (self.sums[b] - self.sums[a]) * self.down[a]
 
 
-def _digest(text: str, lead: int = 0) -> bytes:
-    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, salt=lead.to_bytes(4, "little")).digest()
+def _digest(text: str) -> bytes:
+    return sha256(text.encode("utf-8", "surrogatepass")).digest()[:16]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -87,28 +88,35 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _rightmost_least(values: np.ndarray, width: int) -> np.ndarray:
-    """For each position, where the least of the next ``width`` values stands, the rightmost of equal ones."""
-    least, at, size = values, np.arange(len(values)), 1
-
-    def join(shift: int) -> None:
-        nonlocal least, at
-        right = least[shift:] <= least[:-shift]
-        least, at = np.where(right, least[shift:], least[:-shift]), np.where(right, at[shift:], at[:-shift])
-
+    """For each position, where the least of the next ``width`` values, by their upper 40 bits, stands, the rightmost of equal ones.
+    The lower bits hold the place, from the right, so that the least of both is taken at once."""
+    if len(values) > PLACES:
+        raise ValueError(f"at most {PLACES} values at once")
+    mask = _U(PLACES - 1)
+    least, size = (values & ~mask) | (mask - np.arange(len(values), dtype=_U)), 1
     while size * 2 <= width:
-        join(size)
+        least = np.minimum(least[size:], least[:-size])
         size *= 2
     if width > size:
-        join(width - size)
-    return at
+        least = np.minimum(least[width - size :], least[: size - width])
+    return (mask - (least & mask)).astype(np.int64)
+
+
+def _windows(lengths: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """(text number, start, place in the joined texts) of every window of texts of some lengths."""
+    offsets = np.cumsum(lengths) - lengths
+    counts = np.maximum(lengths - span + 1, 0)
+    text = np.repeat(np.arange(len(lengths)), counts)
+    start = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return text, start, offsets[text] + start
 
 
 def anchors(texts: list[str], span: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text number, hash, surroundings, first window start, windows, lead) of the postings of some texts. lead is the anchor's
-    place behind the first start; surroundings is a digest of all the windows' text and the lead."""
+    place behind the first start; surroundings are digests of all the windows' text and the lead."""
     joined = "".join(texts)
     codes = _codes(joined)
-    lengths = np.array([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     empty = np.zeros(0, np.int64)
     if len(codes) < span:
@@ -117,21 +125,16 @@ def anchors(texts: list[str], span: int, gram: int) -> tuple[np.ndarray, ...]:
     values = _mix(_Hashes(codes).of(i, i + gram))
     at = _rightmost_least(values, span - gram + 1)
     # windows that lie within one text
-    inside = np.zeros(len(codes) + 1, np.int64)
-    usable = lengths >= span
-    np.add.at(inside, offsets[:-1][usable], 1)
-    np.add.at(inside, (offsets[1:] - span + 1)[usable], -1)
-    starts = np.flatnonzero(np.cumsum(inside)[: len(at)])
+    text, _, starts = _windows(lengths, span)
     if not len(starts):
         return empty, empty, empty, empty, empty, empty
-    text = np.searchsorted(offsets, starts, "right") - 1
     new = np.ones(len(starts), bool)
     new[1:] = (at[starts[1:]] != at[starts[:-1]]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     a, b, t = starts[first], starts[last], text[first]
     lead = at[a] - a
-    around = np.array([_digest(joined[x:y], z) for x, y, z in zip(a.tolist(), (b + span).tolist(), lead.tolist())], object)
+    around = [_digest(f"{z} {joined[x:y]}") for x, y, z in zip(a.tolist(), (b + span).tolist(), lead.tolist())]
     return t, values[at[a]].view(np.int64), around, a - offsets[t], b - a + 1, lead
 
 
@@ -232,7 +235,8 @@ class SpanIndex:
         self.parts.append(part)
         rows = self.spark.read.schema(_POSTING).parquet(part)
         # the postings of a hash are combined before the shuffle
-        run = self._write(rows.groupBy("fp").agg(F.min("rec").alias("least"), F.max("rec").alias("greatest"), F.count("*").alias("n")).repartition(self.buckets, "fp"), 0)
+        with shuffle_partitions(self.spark, self.buckets):
+            run = self._write(rows.groupBy("fp").agg(F.min("rec").alias("least"), F.max("rec").alias("greatest"), F.count("*").alias("n")), 0)
         every = self.spark.table(run.table).withColumn("_new", F.lit(True))
         for old in self.runs:
             every = every.unionByName(self.spark.table(old.table).withColumn("_new", F.lit(False)))
@@ -272,16 +276,6 @@ class SpanIndex:
         return rows.filter(F.col("n") >= least).select("fp")
 
 
-def _windows(texts: list[str], span: int) -> tuple[np.ndarray, ...]:
-    """(text number, start, place in the joined texts) of every window."""
-    lengths = np.array([len(t) for t in texts])
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    counts = np.maximum(lengths - span + 1, 0)
-    text = np.repeat(np.arange(len(texts)), counts)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return text, start, offsets[text] + start
-
-
 def _differing(codes: np.ndarray, at: np.ndarray, other: np.ndarray, span: int) -> np.ndarray:
     """Numbers of the windows (at ``at``) whose characters are not those at ``other``. Windows that follow each other at one distance
     from their others are compared as one stretch."""
@@ -312,10 +306,11 @@ def _differing(codes: np.ndarray, at: np.ndarray, other: np.ndarray, span: int)
 
 
 def _groups(texts: list[str], span: int) -> tuple[np.ndarray, ...]:
-    """(text number, start, group) of every window; windows are in one group if and only if they have the same characters."""
-    text, start, at = _windows(texts, span)
+    """(text number, start, group) of every window, and an order that brings groups together; windows are in one group if and only if
+    they have the same characters."""
+    text, start, at = _windows(np.array([len(t) for t in texts], np.int64), span)
     if not len(text):
-        return text, start, text
+        return text, start, text, text
     joined = "".join(texts)
     codes = _codes(joined)
     h = _Hashes(codes).of(at, at + span)
@@ -330,15 +325,15 @@ def _groups(texts: list[str], span: int) -> tuple[np.ndarray, ...]:
         n = int(new.sum())
         for i in np.flatnonzero(np.isin(group, group[bad])).tolist():
             group[i] = n + names.setdefault((int(group[i]), joined[at[i] : at[i] + span]), len(names))
-    return text, start, group
+        order = np.argsort(group, kind="stable")
+    return text, start, group, order
 
 
 def _edges(recs: np.ndarray, starts: np.ndarray, several: np.ndarray, texts: list[str], span: int) -> list[np.ndarray]:
     """(rec, start, end) of the stretches of shared windows of the texts that are not in ``several`` records as a whole."""
-    text, start, group = _groups(texts, span)
+    text, start, group, order = _groups(texts, span)
     if not len(text):
         return [np.zeros(0, np.int64)] * 3
-    order = np.argsort(group, kind="stable")
     g = group[order]
     new = np.ones(len(order), bool)
     new[1:] = g[1:] != g[:-1]
@@ -394,7 +389,7 @@ def _explode(span: int):
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 rec, start, several, texts = (c.to_pylist() for c in b.slice(lo, 500).columns)
-                text, at, _ = _windows(texts, span)
+                text, at, _ = _windows(np.array([len(t) for t in texts], np.int64), span)
                 names = [_digest(texts[t][i : i + span]) for t, i in zip(text.tolist(), at.tolist())]
                 cols = [pa.array(np.array(rec, np.int64)[text]), pa.array(np.array(start, np.int64)[text] + at), pa.array(names, pa.binary()), pa.array(np.array(several, bool)[text])]
                 yield pa.RecordBatch.from_arrays(cols, names=["rec", "at", "window", "several"])
@@ -493,7 +488,8 @@ def _records(spark: SparkSession, contents: DataFrame, buckets: int) -> tuple[Da
         known = rows.withColumn("_tries", F.lit(0)) if moved is None else rows.join(sent_if_small(moved), "hash_code", "left").withColumn("_tries", F.coalesce("_tries", F.lit(0)))
         numbered = known.withColumn("rec", _number(F.col("hash_code"), F.col("_tries")))
         one = numbered.groupBy("rec").agg(F.min("hash_code").alias("hash_code"), F.max("hash_code").alias("other"), F.max("text").alias("text"))
-        one.repartition(buckets, "rec").write.bucketBy(buckets, "rec").option("path", path).option("compression", "zstd").saveAsTable(name)
+        with shuffle_partitions(spark, buckets):
+            one.write.bucketBy(buckets, "rec").option("path", path).option("compression", "zstd").saveAsTable(name)
         clashed = spark.table(name).filter("hash_code <> other").select("rec")
         if clashed.isEmpty():
             return spark.table(name).drop("other"), name
