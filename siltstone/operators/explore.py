@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,34 @@ REPO = ("REPO_OWNER", "REPOSITORY")
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """Count of rows, and of each column the non-null count and least and greatest value, as one row per column.
-    One pass over the input."""
+    """As one row per column: rows of the frame, non-null values, and of these the mean and standard deviation (of a sample; null for
+    columns that are not numbers, and the latter for a single value), the least and the greatest. One pass over the input."""
+    kinds = dict(df.dtypes)
     aggs = [F.count("*").alias("_all")]
+    number = lambda c: kinds[c] not in ("string", "boolean")
     for c in df.columns:
-        v = F.col(c).cast("string") if dict(df.dtypes)[c] == "boolean" else F.col(c)
+        v = F.col(c).cast("string") if kinds[c] == "boolean" else F.col(c)
         aggs += [F.count(c).alias(f"{c}|n"), F.min(v).cast("string").alias(f"{c}|min"), F.max(v).cast("string").alias(f"{c}|max")]
+        if number(c):
+            aggs += [F.avg(c).alias(f"{c}|mean"), F.stddev(c).alias(f"{c}|sd")]
     one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col("_all").alias("n_rows"), F.col(f"{c}|n").alias("n_values"), F.col(f"{c}|min").alias("least"), F.col(f"{c}|max").alias("greatest")) for c in df.columns]
+    none = F.lit(None).cast("double")
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.col("_all").alias("n_rows"), F.col(f"{c}|n").alias("n_values"), (F.col(f"{c}|mean") if number(c) else none).alias("mean"),
+            (F.col(f"{c}|sd") if number(c) else none).alias("stddev"), F.col(f"{c}|min").alias("least"), F.col(f"{c}|max").alias("greatest"),
+        )
+        for c in df.columns
+    ]
     return one.select(F.inline(F.array(*rows)))
 
 
+def summaries(frames: dict[str, DataFrame]) -> DataFrame:
+    """``summary`` of several frames, by their names in ``frame``."""
+    each = [summary(df).select(F.lit(name).alias("frame"), "*") for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def true_path_copy(data: DataFrame) -> DataFrame:
     """Head copies in another repository whose path is the origin's with more text: the text before the origin's length,
     and the latest origin time for each such prefix."""
@@ -44,14 +63,34 @@ def copy_chain(data: DataFrame) -> DataFrame:
     return pair("O", "C", "n_copies").join(pair("OO", "O", "n_origin_copies"), "O").select("OO", "O", "C", "n_copies", "n_origin_copies")
 
 
+def copy_chain_hubs(data: DataFrame) -> DataFrame:
+    """The middle repositories of the chains, one row each: how many repositories they copied from and were copied to, and the number
+    of copies on either side. No product of the two sides is formed."""
+    name = lambda a, b: F.concat_ws("/", a, b)
+    side = H.copy(data).select(
+        F.inline(
+            F.array(
+                F.struct(name("O_REPO_OWNER", "O_REPOSITORY").alias("O"), name(*REPO).alias("_to"), F.lit(None).cast("string").alias("_from")),
+                F.struct(name(*REPO).alias("O"), F.lit(None).cast("string").alias("_to"), name("O_REPO_OWNER", "O_REPOSITORY").alias("_from")),
+            )
+        )
+    )
+    # counted per pair first, so that a repository of any number of copies gives few rows
+    pairs = side.groupBy("O", "_to", "_from").agg(F.count("*").alias("_n"))
+    hubs = pairs.groupBy("O").agg(
+        F.count("_from").alias("n_origins"), F.count("_to").alias("n_copiers"), F.coalesce(F.sum(F.when(F.col("_from").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_copied"), F.coalesce(F.sum(F.when(F.col("_to").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_copies")
+    )
+    return hubs.filter("n_origins > 0 AND n_copiers > 0")
+
+
 def copy_phase(data: DataFrame) -> DataFrame:
-    """When in a repository's life its first copy comes (0 first commit, 1 last; the span counts one second more), summed
-    and counted by the numbers of its commit times and paths."""
+    """When in a repository's life its first copy comes (0 first commit, 1 last; the span counts one second more): mean, sum
+    and count by the numbers of its commit times and paths."""
     repo = data.groupBy(*REPO).agg(F.min("COMMIT_TIME").alias("_first"), F.max("COMMIT_TIME").alias("_last"), F.countDistinct("COMMIT_TIME").alias("n_commits"), F.countDistinct("GIT_PATH").alias("n_paths"))
     first = H.copy(data).groupBy(*REPO).agg(F.min("COMMIT_TIME").alias("_copy"))
     c = F.col
     phase = (c("_copy") - c("_first")) / (c("_last") - c("_first") + 1)
-    return repo.join(first, list(REPO)).groupBy("n_commits", "n_paths").agg(F.sum(phase).alias("sum_phase"), F.count("*").alias("n_repos"))
+    return repo.join(first, list(REPO)).groupBy("n_commits", "n_paths").agg(F.avg(phase).alias("mean_phase"), F.sum(phase).alias("sum_phase"), F.count("*").alias("n_repos"))
 
 
 def test_phase(data: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.paths import nested_packages
+from siltstone.sources.lake import read_text
+
+RETRIES, TIMEOUT = 3, 2.0
 
 # Fixed value: where a registry's answer names a repository, and what ends the name.
 REPOSITORY_URL = r'git://github\.com/([^/]+)/(.+?)(\.git|")'
@@ -36,20 +41,51 @@ def essential_node_git_repos(packages: DataFrame, responses: DataFrame) -> DataF
     )
 
 
-def fetch_responses(packages: DataFrame, fetch) -> DataFrame:
-    """PACKAGE, RESPONSE by calling ``fetch(name) -> str | None`` for each REPO on the executors, in Arrow batches. Names
-    for which it raises or gives nothing are left out."""
+def essential_node_git_repos_of(spark: SparkSession, path: str, responses: DataFrame) -> DataFrame:
+    """The same for a text file of names, one a line. Lines count as they are, blank ones not at all."""
+    names = read_text(spark, path).select(F.trim("value").alias("REPO")).filter("REPO <> ''")
+    return essential_node_git_repos(names, responses)
 
-    def one(name):
-        try:
-            return fetch(name)
-        except Exception:
-            return None
+
+def fetch_responses(packages: DataFrame, fetch: Callable[[str], str | None], retries: int = RETRIES) -> DataFrame:
+    """PACKAGE, RESPONSE, ERROR by calling ``fetch(name)`` for each distinct REPO on the executors, in Arrow batches. A call that raises
+    is made up to ``retries`` more times; if it still raises, RESPONSE is null and ERROR says why, so that an outage is not taken
+    for a missing package. A package for which nothing is given (None) has null in both. Null and blank names are left out."""
+
+    def one(name: str) -> tuple[str | None, str | None]:
+        for left in range(retries, -1, -1):
+            try:
+                return fetch(name), None
+            except Exception as e:
+                if not left:
+                    return None, f"{type(e).__name__}: {e}"
+        return None, None
 
     def run(batches):
         for b in batches:
             out = b.rename(columns={"REPO": "PACKAGE"})
-            out["RESPONSE"] = [one(n) if n else None for n in out["PACKAGE"]]
-            yield out[out["RESPONSE"].notna()]
+            answers = [one(n) for n in out["PACKAGE"]]
+            out["RESPONSE"], out["ERROR"] = [a for a, _ in answers], [e for _, e in answers]
+            yield out
+
+    return packages.select("REPO").filter(F.trim("REPO") != "").distinct().mapInPandas(run, "PACKAGE string, RESPONSE string, ERROR string")
+
+
+def http_fetch(base: str, timeout: float = TIMEOUT) -> Callable[[str], str | None]:
+    """A fetcher of ``<base>/<name>`` over HTTP: None for a package the registry does not know, an exception for any other failure, a
+    connection that takes more than ``timeout`` seconds included."""
+
+    def fetch(name: str) -> str | None:
+        from urllib.error import HTTPError
+        from urllib.parse import quote
+        from urllib.request import urlopen
+
+        try:
+            with urlopen(f"{base.rstrip('/')}/{quote(name, safe='@')}", timeout=timeout) as answer:
+                return answer.read().decode("utf-8", "replace")
+        except HTTPError as e:
+            if e.code == 404:
+                return None
+            raise
 
-    return packages.select("REPO").distinct().mapInPandas(run, "PACKAGE string, RESPONSE string")
+    return fetch

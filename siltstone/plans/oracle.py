@@ -74,7 +74,28 @@ def _label(*rules: tuple[str, str]) -> str:
 
 _A, _F = f"WITH {_ALL} ", f"WITH {_ALL}{_FOLDERS} "
 
+_REPOS = """ SELECT regexp_extract(RESPONSE, 'git://github\\.com/([^/]+)/(.+?)(\\.git|")', 1) AS REPO_OWNER, regexp_extract(RESPONSE, 'git://github\\.com/([^/]+)/(.+?)(\\.git|")', 2) AS REPOSITORY
+      FROM names JOIN answers ON PACKAGE = CASE WHEN REPO IN (SELECT PACKAGE FROM answers) THEN REPO ELSE split_part(REPO, '.', 1) END"""
+
+
+_NAMES = """, names AS (SELECT DISTINCT REPO FROM (SELECT unnest(regexp_extract_all(O_GIT_PATH, 'node_modules/([^/]*)', 1)) AS REPO FROM orig)), answers AS (
+      SELECT DISTINCT repository AS PACKAGE, '"url":"git://github.com/' || min(repo_owner) || '/' || repository || '.git"' AS RESPONSE FROM file_metadata GROUP BY repository)"""
+
+
+def _summary(frame: str, columns: str) -> list[str]:
+    of = {"all_data": "all_data", "orig": "orig", "copy": "copy_"}[frame]
+    number = lambda f, c: f"round({f}({c}), 1)" if c.endswith("TIME") else "CAST(NULL AS DOUBLE)"
+    return [
+        f"SELECT '{frame}' AS frame, '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, {number('avg', c)} AS mean, {number('stddev_samp', c)} AS stddev, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM {of}"
+        for c in columns.split()
+    ]
+
+
+_ORIGIN = "O_REPO_OWNER O_REPOSITORY O_GIT_PATH O_COMMIT_TIME O_HEAD_HASH_CODE O_HEAD_COMMIT_TIME"
+_BASE = "REPO_OWNER REPOSITORY GIT_PATH HASH_CODE COMMIT_TIME HEAD_COMMIT_TIME HEAD_HASH_CODE " + _ORIGIN
+
 ORACLE = {
+    "q00_lake_read": f"WITH {_FM} SELECT * FROM fm",
     "q01_all_data": _A + "SELECT * EXCLUDE (COMMIT_ID) FROM all_data",
     "q02_orig": _A + "SELECT * FROM orig",
     "q03_copy": _A + "SELECT * FROM copy_",
@@ -101,26 +122,26 @@ ORACLE = {
     "q15_unidentified_node_copies": _F
     + """SELECT DISTINCT REPO_OWNER, REPOSITORY, GIT_PATH FROM head_copy h WHERE contains(GIT_PATH, 'node_modules/')
       AND NOT EXISTS (SELECT 1 FROM examples e WHERE e.O_REPO_OWNER IS NOT NULL AND e.REPO_OWNER = h.REPO_OWNER AND e.REPOSITORY = h.REPOSITORY)""",
+    "q15b_unidentified_node_copies_literal": _F
+    + """SELECT DISTINCT REPO_OWNER, REPOSITORY, GIT_PATH FROM head_copy h WHERE contains(GIT_PATH, 'node_modules/')
+      AND NOT EXISTS (SELECT 1 FROM examples e WHERE e.REPO_OWNER = h.REPO_OWNER AND e.REPOSITORY = h.REPOSITORY)""",
     "q16_essential_node_packages": _A + "SELECT DISTINCT REPO FROM (SELECT unnest(regexp_extract_all(O_GIT_PATH, 'node_modules/([^/]*)', 1)) AS REPO FROM orig)",
-    "q17_essential_node_git_repos": _A
-    + """, names AS (SELECT DISTINCT REPO FROM (SELECT unnest(regexp_extract_all(O_GIT_PATH, 'node_modules/([^/]*)', 1)) AS REPO FROM orig)), answers AS (
-      SELECT DISTINCT repository AS PACKAGE, '"url":"git://github.com/' || min(repo_owner) || '/' || repository || '.git"' AS RESPONSE FROM file_metadata GROUP BY repository)
-      SELECT regexp_extract(RESPONSE, 'git://github\\.com/([^/]+)/(.+?)(\\.git|")', 1) AS REPO_OWNER, regexp_extract(RESPONSE, 'git://github\\.com/([^/]+)/(.+?)(\\.git|")', 2) AS REPOSITORY
-      FROM names JOIN answers ON PACKAGE = CASE WHEN REPO IN (SELECT PACKAGE FROM answers) THEN REPO ELSE split_part(REPO, '.', 1) END""",
+    "q17_essential_node_git_repos": _A + _NAMES + _REPOS,
+    "q17b_essential_node_git_repos_of_file": _A + _NAMES + ", kept AS (SELECT * FROM names WHERE trim(REPO) <> '')" + _REPOS.replace("FROM names", "FROM kept"),
     "q18b_semi_filter": _A + "SELECT count(*) AS n FROM all_data WHERE REPO_OWNER IN (SELECT O_REPO_OWNER FROM head_copy) AND REPOSITORY IN (SELECT O_REPOSITORY FROM head_copy)",
-    "q19_summary": _A
-    + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM all_data"
-        for c in "REPO_OWNER REPOSITORY GIT_PATH HASH_CODE COMMIT_TIME HEAD_COMMIT_TIME HEAD_HASH_CODE O_REPO_OWNER O_REPOSITORY O_GIT_PATH O_COMMIT_TIME O_HEAD_HASH_CODE O_HEAD_COMMIT_TIME IS_UNIQUE".split()
-    ),
+    "q18c_bloom_filter": _A + "SELECT count(DISTINCT HASH_CODE) AS n_members, CAST(0 AS BIGINT) AS n_missed, true AS within_rate FROM copy_",
+    "q19_summary": _A + " UNION ALL ".join(_summary("all_data", f"{_BASE} IS_UNIQUE") + _summary("orig", f"HASH_CODE {_ORIGIN} IS_UNIQUE") + _summary("copy", _BASE)),
     "q20_true_path_copy": _A
     + """SELECT REPO_OWNER, REPOSITORY, COMMIT_TIME, substr(GIT_PATH, 1, length(GIT_PATH) - length(O_GIT_PATH)) AS GIT_PATH_PREFIX, O_REPO_OWNER, O_REPOSITORY, max(O_COMMIT_TIME) AS O_COMMIT_TIME
       FROM head_copy WHERE (REPO_OWNER <> O_REPO_OWNER OR REPOSITORY <> O_REPOSITORY) AND length(GIT_PATH) > length(O_GIT_PATH) AND contains(GIT_PATH, O_GIT_PATH) GROUP BY 1, 2, 3, 4, 5, 6""",
     "q21_copy_chain": _A
     + """, c AS (SELECT O_REPO_OWNER || '/' || O_REPOSITORY AS O, REPO_OWNER || '/' || REPOSITORY AS C, count(*) AS n FROM copy_ GROUP BY 1, 2)
       SELECT b.O AS OO, a.O, a.C, a.n AS n_copies, b.n AS n_origin_copies FROM c a JOIN c b ON a.O = b.C""",
+    "q21b_copy_chain_hubs": _A
+    + """, c AS (SELECT O_REPO_OWNER || '/' || O_REPOSITORY AS O, REPO_OWNER || '/' || REPOSITORY AS C, count(*) AS n FROM copy_ GROUP BY 1, 2)
+      SELECT O, n_origins, n_copiers, n_copied, n_copies FROM (SELECT O, count(*) AS n_copiers, CAST(sum(n) AS BIGINT) AS n_copies FROM c GROUP BY 1) JOIN (SELECT C AS O, count(*) AS n_origins, CAST(sum(n) AS BIGINT) AS n_copied FROM c GROUP BY 1) USING (O)""",
     "q22_copy_phase": _A
-    + """SELECT n_commits, n_paths, round(sum((t - a) / (b - a + 1)), 6) AS sum_phase, count(*) AS n_repos FROM (SELECT REPO_OWNER, REPOSITORY, min(COMMIT_TIME) AS a, max(COMMIT_TIME) AS b,
+    + """SELECT n_commits, n_paths, round(avg((t - a) / (b - a + 1)), 6) AS mean_phase, round(sum((t - a) / (b - a + 1)), 6) AS sum_phase, count(*) AS n_repos FROM (SELECT REPO_OWNER, REPOSITORY, min(COMMIT_TIME) AS a, max(COMMIT_TIME) AS b,
       count(DISTINCT COMMIT_TIME) AS n_commits, count(DISTINCT GIT_PATH) AS n_paths FROM all_data GROUP BY 1, 2) r JOIN (SELECT REPO_OWNER, REPOSITORY, min(COMMIT_TIME) AS t FROM copy_ GROUP BY 1, 2) c USING (REPO_OWNER, REPOSITORY) GROUP BY 1, 2""",
     "q23_test_phase": _A + "SELECT REPO_OWNER, REPOSITORY, coalesce(min(COMMIT_TIME) FILTER (WHERE contains(lower(GIT_PATH), 'test/')), max(COMMIT_TIME)) AS T_COMMIT_TIME FROM all_data GROUP BY 1, 2",
     "p3_found": """WITH once AS (SELECT repo_owner, repository, git_path, NULLIF(lower(trim(hash_code)), '') AS hash_code, NULLIF(lower(trim(commit_id)), '') AS commit_id, min(commit_time) AS t

@@ -144,7 +144,79 @@ def test_registry(spark):
     p = spark.createDataFrame([("a",), ("b.js",), ("c",), ("none",)], "REPO string")
     r = spark.createDataFrame([("a", '"git://github.com/o/a.git"'), ("b", '{"u":"git://github.com/p/b"}'), ("c", "nothing")], "PACKAGE string, RESPONSE string")
     assert rows(npm.essential_node_git_repos(p, r)) == [("o", "a"), ("p", "b")]
-    assert rows(npm.fetch_responses(p, lambda n: {"a": "x"}[n])) == [("a", "x")]
+
+
+def test_registry_of_a_file(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("a\n b.js \n\nnone\n")
+    r = spark.createDataFrame([("a", '"git://github.com/o/a.git"'), ("b", '"git://github.com/p/b.git"')], "PACKAGE string, RESPONSE string")
+    assert rows(npm.essential_node_git_repos_of(spark, f"{tmp_path}/names.txt", r)) == [("o", "a"), ("p", "b")]
+
+
+def test_fetching_tells_outages_from_missing_packages(spark, tmp_path):
+    p = spark.createDataFrame([("a",), ("a",), ("flaky",), ("none",), ("down",), (None,), (" ",)], "REPO string")
+
+    def fetch(name):
+        if name == "flaky":
+            with open(f"{tmp_path}/calls", "a+") as f:
+                f.write("x")
+                f.seek(0)
+                if len(f.read()) < 4:
+                    raise TimeoutError("slow")
+        if name == "down":
+            raise ConnectionError("refused")
+        return None if name == "none" else name.upper()
+
+    got = {r.PACKAGE: (r.RESPONSE, r.ERROR) for r in npm.fetch_responses(p, fetch).collect()}
+    assert got == {"a": ("A", None), "flaky": ("FLAKY", None), "none": (None, None), "down": (None, "ConnectionError: refused")}
+
+
+def test_http_fetch():
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(1)
+            code = {"/a": 200, "/none": 404}.get(self.path, 500)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(b"git")
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    fetch = npm.http_fetch(f"http://127.0.0.1:{server.server_port}/", timeout=0.3)
+    assert fetch("a") == "git" and fetch("none") is None
+    for name in ("broken", "slow"):
+        with pytest.raises(OSError):
+            fetch(name)
+    server.shutdown()
+
+
+def test_true_path_copies(spark):
+    d = data(
+        spark, "o/r lib/a.js h1 1", "o/r b.js h2 1", "o/r long/name.js h3 1",
+        "p/s vendor/lib/a.js h1 2", "p/s vendor/lib/a2.js h1 2", "p/s third/b.js h2 2", "p/s x.js h3 2", "o/r old/b.js h2 3", "q/t vendor/lib/a.js h1 5", "q/t vendor/lib/a.js - 6",
+    )
+    # in another repository, at the head, with the origin's path within a longer one
+    want = set()
+    for r in history.head_copy(d).collect():
+        if (r.REPO_OWNER, r.REPOSITORY) != (r.O_REPO_OWNER, r.O_REPOSITORY) and r.O_GIT_PATH in r.GIT_PATH and len(r.GIT_PATH) > len(r.O_GIT_PATH):
+            want.add((r.REPO_OWNER, r.REPOSITORY, r.COMMIT_TIME, r.GIT_PATH[: len(r.GIT_PATH) - len(r.O_GIT_PATH)], r.O_REPO_OWNER, r.O_REPOSITORY, r.O_COMMIT_TIME))
+    got = rows(explore.true_path_copy(d))
+    assert set(got) == want and [r[3] for r in got] == ["third/", "vendor/"]
+
+
+def test_hubs_of_chains(spark):
+    d = data(spark, "o/r a h1 1", "o/r a2 h5 1", "p/s b h1 2", "p/s b2 h5 2", "p/s c h2 3", "q/t d h2 4", "u/v e h2 5", "u/v f h1 5")
+    chain = explore.copy_chain(d).collect()
+    want = {(o, len({r.OO for r in chain if o == r.O}), len({r.C for r in chain if o == r.O})) for o in {r.O for r in chain}}
+    assert set(rows(explore.copy_chain_hubs(d), "O", "n_origins", "n_copiers")) == want == {("p/s", 1, 2)}
+    assert rows(explore.copy_chain_hubs(d), "n_copied", "n_copies") == [(2, 2)]
 
 
 def test_chain_and_phases(spark):
@@ -152,4 +224,10 @@ def test_chain_and_phases(spark):
     assert rows(explore.copy_chain(d), "OO", "O", "C") == [("o/r", "p/s", "q/t")]
     assert dict((r.REPO_OWNER, r.T_COMMIT_TIME) for r in explore.test_phase(d).collect()) == {"o": 1, "p": 3, "q": 6}
     s = {r.column_name: r for r in explore.summary(d).collect()}
-    assert s["HASH_CODE"].n_values == 5 and s["COMMIT_TIME"].greatest == "6"
+    assert s["HASH_CODE"].n_values == 5 and s["COMMIT_TIME"].greatest == "6" and s["HASH_CODE"].mean is None
+    assert s["COMMIT_TIME"].mean == 16 / 5 and abs(s["COMMIT_TIME"].stddev - 3.7**0.5) < 1e-9
+    every = explore.summaries({"all": d, "none": d.limit(0), "orig": history.orig(d)}).collect()
+    assert {(r.frame, r.column_name, r.n_rows) for r in every} >= {("all", "GIT_PATH", 5), ("none", "GIT_PATH", 0), ("orig", "HASH_CODE", 3)}
+    assert explore.summary(d.limit(1).select("COMMIT_TIME")).first().stddev is None
+    p = explore.copy_phase(data(spark, "o/r a h1 1", "p/s x h0 2", "p/s b h1 3", "p/s y h9 5")).first()
+    assert (p.n_repos, p.mean_phase, p.sum_phase) == (1, 0.25, 0.25)

@@ -69,6 +69,63 @@ def test_sticky_checkpoint_broken_off(spark):
     assert C.sticky_checkpoint(spark.range(2), "c", versioned=False).count() == 2
 
 
+MADE = []  # which frames were made; a name of the module is not enclosed
+
+
+def test_sticky_checkpoint_knows_logic_and_parameters(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+    source = spark.read.parquet(f"{tmp_path}/in")
+    MADE.clear()
+
+    def stuck(least, **more):
+        def one():
+            MADE.append(least)
+            return source.filter(F.col("id") > least)
+
+        return C.sticky_checkpoint(one, "logic", source=source, **more).count()
+
+    assert stuck(3) == 6 and stuck(3) == 6 and MADE == [3]
+    assert stuck(5) == 4  # what a function encloses is part of what it does
+    assert C.sticky_checkpoint(lambda: source.filter("id > 7"), "logic", source=source).count() == 2
+    assert C.sticky_checkpoint(lambda: source.filter("id < 7"), "logic", source=source).count() == 7  # and so is its code
+    stuck(3, parameters={"a": 1})
+    stuck(3, parameters={"a": 2})
+    assert MADE == [3, 5, 3, 3]
+    spark.range(20, 22).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.read.parquet(f"{tmp_path}/in")
+    assert stuck(3) == 8  # and the files
+    with pytest.raises(ValueError):
+        C.sticky_checkpoint(lambda: source, "logic")
+
+
+def test_examples_follow_the_ranks(spark, small, monkeypatch):
+    from siltstone.operators import imports
+    from siltstone.plans import registry
+
+    many = registry._examples(spark, small).agg(F.max("ROW_NUM")).first()[0]
+    monkeypatch.setattr(imports, "RANKS", 0)
+    assert registry._examples(spark, small).agg(F.max("ROW_NUM")).first()[0] is None and many >= 1
+
+
+def test_sticky_checkpoint_asks_for_no_single_file(spark, tmp_path, monkeypatch):
+    spark.range(100).repartition(30).write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(type(df), "inputFiles", lambda self: 1 / 0)
+    assert C.version_of(df) == C.version_of(df) != C.version_of(df.filter("id > 1"))
+    assert C._files(df)[0][1] >= 30
+
+
+def test_bloom_words(spark):
+    df = spark.range(2000).select(F.col("id").cast("string").alias("s")).unionByName(spark.createDataFrame([(None,)], "s string"))
+    shape = C.bloom_shape(1000, 0.01)
+    low, high = (C.bloom_words(df.filter(f"s IS NULL OR int(s) BETWEEN {a} AND {a + 499}"), "s", *shape) for a in (0, 500))
+    words = C.unite_words(low.unionByName(high))
+    assert words.count() == words.select("word").distinct().count() <= shape[0] // 64 + 1
+    passed = {int(r[0]) for r in C.might_contain(df, "s", words, *shape).collect()}
+    assert set(range(1000)) <= passed and len(passed) < 1000 + 40
+    assert C.might_contain(df, "s", words.limit(0), *shape).count() == 0
+
+
 def test_rename_and_sketches(spark):
     df = spark.createDataFrame([(str(i % 100), i) for i in range(1000)], "s string, i long")
     assert C.rename(df, {"s": "t", "none": "x"}).columns == ["t", "i"]

@@ -12,14 +12,19 @@ DELTA = "target_table string, key string, refs int, rows int"
 
 
 def test_orphans(spark, tmp_path):
-    batches = [[("t", "a", 1, 0), ("t", "b", 1, 0), ("t", "b", 1, 0)], [("t", "b", 0, 1), ("t", "c", 0, 1)], [("t", "c", 0, -1), ("t", "a", -1, 0), ("t", "d", 1, 0)]]
+    import os
+
+    batches = [[("t", "a", 1, 0), ("t", "b", 1, 0), ("t", "b", 1, 0)], [("t", "b", 0, 1), ("t", "c", 0, 1)], [("t", "c", 0, -1), ("t", "a", -1, 0), ("t", "d", 1, 0)], [], [("t", "e", 1, 0)], [("t", "e", 0, 1)], [("t", "f", 1, 0)]]
+    source = spark.readStream.schema(DELTA).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    assert stream.read_state(spark, f"{tmp_path}/state") is None
     for i, b in enumerate(batches):
-        spark.createDataFrame(b, DELTA).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-        source = spark.readStream.schema(DELTA).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-        stream.maintain_state(source, f"{tmp_path}/state", f"{tmp_path}/ck").awaitTermination()
-    state = spark.read.parquet(f"{tmp_path}/state/v=2")
-    every = orphans.apply_deltas(None, spark.createDataFrame(sum(batches, []), DELTA))
-    assert rows(state) == rows(every) and rows(orphans.orphan_keys(state)) == [("t", "d", 1)]
+        spark.createDataFrame(b or [("t", "x", 0, 0)], DELTA).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream.maintain_state(source, f"{tmp_path}/state", f"{tmp_path}/ck", merge_every=2).awaitTermination()
+        every = orphans.apply_deltas(None, spark.createDataFrame(sum(batches[: i + 1], []), DELTA))
+        assert rows(stream.read_state(spark, f"{tmp_path}/state")) == rows(every)
+    assert rows(orphans.orphan_keys(stream.read_state(spark, f"{tmp_path}/state"))) == [("t", "d", 1), ("t", "f", 1)]
+    # what has been merged is removed, but for one full version before the last
+    assert sorted(n for n in os.listdir(tmp_path / "state") if n[1] == "=") == ["d=4", "d=5", "d=6", "v=3", "v=5"]
     q = stream.running_counts(source).writeStream.format("memory").queryName("counts").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
