@@ -25,7 +25,7 @@ def read_state(spark: SparkSession, path: str) -> DataFrame | None:
     if not full and not deltas:
         return None
     last = full[-1] if full else -1
-    parts = [f"{path}/v={last}"] * bool(full) + [f"{path}/d={n}" for n in deltas if n > last]
+    parts = [f"{path}/v={v}" for v in full[-1:]] + [f"{path}/d={n}" for n in deltas if n > last]
     return apply_deltas(None, spark.read.schema(STATE).parquet(*parts))
 
 
@@ -50,7 +50,7 @@ def maintain_state(deltas: DataFrame, path: str, checkpoint: str, merge_every: i
             return
         full, parts = _versions(spark, path)
         base = [v for v in full if v < number]
-        source = [f"{path}/v={base[-1]}"] * bool(base) + [f"{path}/d={n}" for n in parts if n > (base[-1] if base else -1)]
+        source = [f"{path}/v={v}" for v in base[-1:]] + [f"{path}/d={n}" for n in parts if n > (base[-1] if base else -1)]
         apply_deltas(None, spark.read.schema(STATE).parquet(*source)).write.mode("overwrite").parquet(f"{path}/v={number}")
         for old in base[:-1]:
             remove(spark, f"{path}/v={old}")

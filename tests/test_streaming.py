@@ -15,6 +15,7 @@ def test_orphans(spark, tmp_path):
     import os
 
     batches = [[("t", "a", 1, 0), ("t", "b", 1, 0), ("t", "b", 1, 0)], [("t", "b", 0, 1), ("t", "c", 0, 1)], [("t", "c", 0, -1), ("t", "a", -1, 0), ("t", "d", 1, 0)], [], [("t", "e", 1, 0)], [("t", "e", 0, 1)], [("t", "f", 1, 0)]]
+    (tmp_path / "in").mkdir()
     source = spark.readStream.schema(DELTA).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     assert stream.read_state(spark, f"{tmp_path}/state") is None
     for i, b in enumerate(batches):
