@@ -31,10 +31,10 @@ def folder_deltas(revisions: DataFrame) -> DataFrame:
     it (``all_data(..., with_commit=True)``), then hash."""
     c = F.col
     commit = ["COMMIT_ID"] if "COMMIT_ID" in revisions.columns else []
-    # written once, as the scan reads it for the rows and for the blocks
-    blocks = materialise(revisions.select(*H.BASE, *commit, F.crc32("HASH_CODE").alias("_crc"), scan.time_block("COMMIT_TIME").alias("_block")), "revisions")
+    # written once, as keys are counted first
+    written = materialise(revisions.select(*H.BASE, *commit, F.crc32("HASH_CODE").alias("_crc")), "revisions")
     rows = (
-        scan.previous(blocks, H.PATH, ("COMMIT_TIME", *commit, "HASH_CODE"), "_crc", "_prev")
+        scan.previous_of_each(written, H.PATH, ("COMMIT_TIME", *commit, "HASH_CODE"), "_crc", "_prev")
         .select(
             "REPO_OWNER",
             "REPOSITORY",
@@ -53,17 +53,17 @@ def folder_deltas(revisions: DataFrame) -> DataFrame:
 def ranked_orig_folder_hash(data: DataFrame, max_rank: int | None = None) -> DataFrame:
     """Distinct states of folders with at least one file, at the first time each held, ranked among all folders with the
     same state by time, owner, repository and folder. With ``max_rank`` only states up to that rank, which the planner then
-    picks before the shuffle; without it a state of any number of folders is ranked in blocks."""
-    deltas = materialise(folder_deltas(candidates(data)).withColumn("_block", scan.time_block("COMMIT_TIME")), "deltas")
+    picks before the shuffle; without it a state of very many folders is ranked in blocks."""
+    deltas = materialise(folder_deltas(candidates(data)), "deltas")
     states = (
-        scan.running(deltas, ("REPO_OWNER", "REPOSITORY", "FOLDER"), ("COMMIT_TIME",), dict(zip(SUMS, ("_dh", "_dn", "_df"))))
+        scan.running_of_each(deltas, ("REPO_OWNER", "REPOSITORY", "FOLDER"), ("COMMIT_TIME",), dict(zip(SUMS, ("_dh", "_dn", "_df"))))
         .filter("n_files > 0")
         .groupBy(*[F.col(c).alias(f"O_{c}") for c in ("REPO_OWNER", "REPOSITORY", "FOLDER")], *SUMS)
         .agg(F.min("COMMIT_TIME").alias("O_COMMIT_TIME"))
     )
     order = ("O_COMMIT_TIME", "O_REPO_OWNER", "O_REPOSITORY", "O_FOLDER")
     if max_rank is None:
-        return scan.ranked(scan.range_block(states, SUMS, order), SUMS, order, "ROW_NUM").drop("_block")
+        return scan.ranked_of_each(materialise(states, "states"), SUMS, order, "ROW_NUM")
     rank = F.row_number().over(Window.partitionBy(*SUMS).orderBy(*order))
     return states.withColumn("ROW_NUM", rank).filter(F.col("ROW_NUM") <= max_rank)
 

@@ -174,3 +174,22 @@ def test_scans_over_blocks_like_plain_windows(spark, by_time):
     assert rows(a, "i", "p") == sorted(((x[1], x[2]) for x in want.collect()), key=repr)
     assert {x[0]: x[1] for x in rows(b, "i", "s")} == {x[1]: x[3] or 0 for x in want.collect()}
     assert rows(c, "i", "n") == sorted(((x[1], x[4]) for x in want.collect()), key=repr)
+
+
+@pytest.mark.parametrize("heavy", [10**6, 500, 0])
+def test_scans_of_heavy_and_other_keys_like_plain_windows(spark, heavy):
+    from pyspark.sql import Window
+
+    from siltstone.operators import scan
+
+    r = random.Random(3)
+    data = [(r.choice(["hot", "hot", "hot", "a", "b", None]), i, r.randrange(1 << 24), r.choice([1, 2, 3])) for i in range(2000)]
+    df = spark.createDataFrame(data, "k string, i long, COMMIT_TIME long, v long")
+    order = ("COMMIT_TIME", "i")
+    w = Window.partitionBy("k").orderBy(*order)
+    want = df.select("i", F.lag("v").over(w), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(w))
+    a = scan.previous_of_each(df, ["k"], order, "v", "p", heavy)
+    b = scan.running_of_each(df, ["k"], order, {"s": "v"}, heavy)
+    c = scan.ranked_of_each(df, ["k"], order, "n", heavy)
+    got = a.select("i", "p").join(b.select("i", "s"), "i").join(c.select("i", "n"), "i")
+    assert rows(got, "i", "p", "s", "n") == rows(want)
