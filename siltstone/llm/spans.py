@@ -17,7 +17,9 @@ window compared with the others of the same anchor. There a 64-bit hash only pro
 digest and combined before the shuffle; the result is the same.
 
 ``shared_stretches`` settles all hashes that are shared, or only those that the last batch has brought or met again. What the
-batches give one after the other adds up to the whole, so that each batch costs what it touches.
+batches give one after the other adds up to the whole: a batch joins its hashes with the postings, which are narrow, and reads
+the texts of no others. Postings of several batches are merged into files that are ranges of hashes, sorted, so that the few hashes
+of a small batch are found by the fences of files and blocks, and no hot hash lies in one file.
 """
 
 from __future__ import annotations
@@ -42,10 +44,12 @@ SPAN, GRAM = 200, 32
 BATCHES, FANOUT = 3, 3
 GROUP, HOT_POSTINGS, SALTS = 20_000, 50_000, 16
 TEXTS = 100_000  # records of a bucket
+ROW_GROUP = 8 << 20  # bytes of a block of postings
 NUMBER_BITS = 64
 COMPARED = 1 << 22  # characters compared at once
 BLOCK = 1 << 20  # characters that are hashed at once
 PLACES = 1 << 24  # characters of a block, at most
+POINT_HASHES = 1_000  # of a batch whose postings are looked up by fences
 CHUNK = 8_000  # texts that are verified at once, besides the rest of a group
 
 _U = np.uint64
@@ -180,6 +184,12 @@ class Run:
     level: int
 
 
+@dataclass(frozen=True)
+class Part:
+    path: str
+    level: int
+
+
 class SpanIndex:
     """Postings of all records taken so far, and the runs of anchor hashes. ``buckets`` is fixed for the life of an index and should
     suit the number of records it is to hold. One writer at a time: a second one fails when it writes its manifest."""
@@ -191,7 +201,7 @@ class SpanIndex:
         self.path = path or scratch(spark, "spans")
         self.buckets = buckets or buckets_for(spark, 0)
         self.runs: list[Run] = []
-        self.parts: list[str] = []
+        self.parts: list[Part] = []
         self.shared: list[str] = []
         self.number = 0
 
@@ -200,7 +210,7 @@ class SpanIndex:
         """The index that a session, this or another, has left in ``path``."""
         number, state = load_state(spark, path)
         index = cls(spark, path, state["span"], state["gram"], state["fanout"], state["buckets"])
-        index.number, index.parts, index.shared = number, state["parts"], state["shared"]
+        index.number, index.parts, index.shared = number, [Part(**p) for p in state["parts"]], state["shared"]
         for r in state["runs"]:
             spark.sql(f"CREATE TABLE IF NOT EXISTS {r['table']} (fp BIGINT, least BIGINT, greatest BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS LOCATION '{r['path']}'")
             index.runs.append(Run(**r))
@@ -213,7 +223,7 @@ class SpanIndex:
 
     def _save(self) -> None:
         self.number += 1
-        save_state(self.spark, self.path, self.number, {"span": self.span, "gram": self.gram, "fanout": self.fanout, "buckets": self.buckets, "runs": [asdict(r) for r in self.runs], "parts": self.parts, "shared": self.shared})
+        save_state(self.spark, self.path, self.number, {"span": self.span, "gram": self.gram, "fanout": self.fanout, "buckets": self.buckets, "runs": [asdict(r) for r in self.runs], "parts": [asdict(p) for p in self.parts], "shared": self.shared})
 
     def _write(self, entries: DataFrame, level: int) -> Run:
         """A run (fp, least, greatest, n), one row per hash, of rows that lie in the index's buckets."""
@@ -230,9 +240,10 @@ class SpanIndex:
 
     def add(self, texts: DataFrame) -> None:
         """Take a batch (rec, text) of records that are not in the index yet."""
-        part = f"{self.path}/postings-{len(self.parts)}-{uuid.uuid4().hex}"
+        self._merge_parts()
+        part = f"{self.path}/postings-{uuid.uuid4().hex}"
         texts.select("rec", "text").filter(F.length("text") >= self.span).mapInArrow(_postings(self.span, self.gram), _POSTING).write.option("compression", "zstd").parquet(part)
-        self.parts.append(part)
+        self.parts.append(Part(part, 0))
         rows = self.spark.read.schema(_POSTING).parquet(part)
         # the postings of a hash are combined before the shuffle
         with shuffle_partitions(self.spark, self.buckets):
@@ -261,8 +272,25 @@ class SpanIndex:
                     remove(self.spark, r.path)
             level += 1
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.schema(_POSTING).parquet(*self.parts)
+    def _merge_parts(self) -> None:
+        """Bring the postings of ``fanout`` parts of a level into one of the next, by ranges of hash and record."""
+        level = 0
+        while any(p.level >= level for p in self.parts):
+            old = [p for p in self.parts if p.level == level]
+            if len(old) >= self.fanout:
+                path = f"{self.path}/postings-{uuid.uuid4().hex}"
+                rows = self.spark.read.schema(_POSTING).parquet(*[p.path for p in old])
+                rows.repartitionByRange("fp", "rec").sortWithinPartitions("fp", "rec").write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+                self.parts = [p for p in self.parts if p.level != level] + [Part(path, level + 1)]
+                self._save()
+                for p in old:
+                    remove(self.spark, p.path)
+            level += 1
+
+    def postings(self, hashes: list[int] | None = None) -> DataFrame:
+        """All postings, or those of a few hashes, read from the blocks whose fences let them in."""
+        rows = self.spark.read.schema(_POSTING).parquet(*[p.path for p in self.parts])
+        return rows if hashes is None else rows.filter(F.col("fp").isin(hashes))
 
     def shared_hashes(self, last: bool = False) -> DataFrame:
         """fp of the anchors that stand in several records, as the merge joins found them; with ``last`` those that the last batch
@@ -424,7 +452,9 @@ def shared_stretches(index: SpanIndex, texts: DataFrame, group: int = GROUP, hot
     hot_list = index.hot_hashes(hot)  # one anchor in ``hot`` postings at most
     hot_list = materialise(hot_list.join(wanted, "fp", "left_semi") if last else hot_list, "hot")
     any_hot = not hot_list.isEmpty()
-    cold, heavy = _split_hot(index.postings(), hot_list) if any_hot else (index.postings(), None)
+    few = [r.fp for r in wanted.limit(POINT_HASHES + 1).collect()] if last else []
+    postings = index.postings(few if last and len(few) <= POINT_HASHES else None)
+    cold, heavy = _split_hot(postings, hot_list) if any_hot else (postings, None)
     by_around, by_fp = Window.partitionBy("fp", "around"), Window.partitionBy("fp")
     # everything below lies partitioned by fp; a group has less than the hot number of rows
     settled = (

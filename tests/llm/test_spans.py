@@ -121,12 +121,14 @@ def test_windows_that_differ_are_found_whatever_the_pieces(monkeypatch):
         assert spans._differing(codes, at, other, 4).tolist() == want
 
 
-def test_batches_add_up_and_another_session_goes_on(spark):
+@pytest.mark.parametrize("point", [0, 10**6])
+def test_batches_add_up_and_another_session_goes_on(spark, monkeypatch, point):
+    monkeypatch.setattr(spans, "POINT_HASHES", point)
     texts = corpus(5, "abcd", 50)
     records = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(texts.items())], "rec long, hash_code string, text string")
     index = spans.SpanIndex(spark, span=20, gram=6, fanout=2, buckets=3)
     parts, seen = [], 0
-    for lo, hi in ((0, 20), (20, 45), (45, 99)):
+    for lo, hi in ((0, 20), (20, 35), (35, 45), (45, 99)):
         index.add(records.filter(F.col("rec").between(lo, hi - 1)))
         index.close()
         index = spans.SpanIndex.open(spark.newSession(), index.path)
@@ -138,7 +140,14 @@ def test_batches_add_up_and_another_session_goes_on(spark):
         got = {(names[i], a, b) for i, a, b in rows(spans.joined_stretches(so_far))}
         assert got == brute(dict(list(texts.items())[:hi]), 20) and len(got) >= seen
         seen = len(got)
-    assert (index.span, index.gram, index.fanout, index.buckets) == (20, 6, 2, 3) and len(index.runs) <= 2
+    assert (index.span, index.gram, index.fanout, index.buckets) == (20, 6, 2, 3) and len(index.runs) <= 3
+    # the postings of three batches lie in ranges of hashes
+    merged = next(p for p in index.parts if p.level)
+    at = spark.read.parquet(merged.path).groupBy(F.input_file_name().alias("f")).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).orderBy("a").collect()
+    assert len(index.parts) == 3 and all(x.b <= y.a for x, y in zip(at, at[1:]))
+    hashes = [r.fp for r in index.postings().select("fp").distinct().limit(3).collect()]
+    assert "PushedFilters: [In(fp" in index.postings(hashes)._jdf.queryExecution().executedPlan().toString()
+    assert rows(index.postings(hashes), "rec", "place") == rows(index.postings().filter(F.col("fp").isin(hashes)), "rec", "place")
     index.close()
 
 
