@@ -1517,7 +1517,7 @@ class _Parser:
             if p is not None and k[p + 1] in (",", "=", "]", "}"):
                 return self.assignment_pattern(i)
         i = self.operand(i)
-        if not self.target and not (k[i - 1] == ")"):
+        if not self.target:
             self.fail(i, "no target of an assignment")
         return i
 

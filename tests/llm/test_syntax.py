@@ -168,6 +168,47 @@ def test_python_like_the_language(seed):
         assert (parse_py.errors(s) == []) == python_takes(s), s
 
 
+MORE_VALID_JS = [
+    'function f(a, a){}', "function f(a){ 'use strict'; var a; }", 'try{}catch(e){ var e; }', 'function a(){} function a(){}', '{ function a(){} function a(){} }',
+    'for (let i;;) { let i; }', 'for (const i of x) {const i=1}', 'a: { break a; }', 'class A extends B { constructor(){ super(); } }', '({a=1} = {})', 'var let = 1', 'let [a] = b',
+    "import('x')", 'if (1) function f(){}', 'l: function f(){}', 'x = y => z ? 1 : 2', 'a ? b : c => d', '(-1) ** 2', 'delete a?.b', '1..toString()', '1_000', '08.5', "'\\08'",
+    'function f(){ await }', 'async(x)', 'async', 'for (var i = 0 in x);', '({ get a(){}, set a(v){} })', 'class A { #a; m(){ return #a in this } }',
+    "class A { async *m(){} static async m(){} static x = 1; 'y'; [z] = 2; static {} get; set; static; async }", 'with(a) b', 'abc = 1', '({ var: 1 })', 'do x; while(0) y',
+    'a: for(;;) continue a', 'var {a, ...b} = c', '[(a)] = c', '({a: (b)} = c)', '(a, ...b) => 1', '(a,) => 1', 'f(a,)', 'let async; async = 1', 'var await; await = 1', 'var yield = 1',
+    '<!-- comment', '({ async foo(){} , async: 1, get: 1, get(){}, set(){}, static: 1 })', '({if: 1})', 'a.if', '({ m(){ super.x } })', 'interface = 1', 'var undefined',
+    'a = b ? (c, d) : e => f', 'for (x of []) ;', 'for (let x in {}) ;', 'async function f(){ for await (x of y); await x; }', 'function* g(){ yield; yield* x; yield x }',
+    'x = function*(){ const y = yield; }', 'a?.[0]?.(1)?.b', 'a ??= b; a ||= c; a **= 2', 'x = class extends (a, b) {}', 'x = async function(){}', 'x = async () => await y',
+    'x = async x => await x', 'if (a) ; else ;', 'switch (a) { case 1: default: }', 'throw new Error(`a ${b} c`)', 'x = a / b / c', 'x = a ? /b/ : /c/', 'x = {} / 1', '{} /a/', '({}) / 1',
+    'if (x) /a/.test(y)', 'x++ / 2', 'a = b\n/c/g', 'y = `a${`b${c}`}`', 'label: while (1) { break label }', 'new (foo())()', 'new foo.bar', 'new new X()()', 'typeof typeof x',
+    'void 0, !function(){}()', "var a = { 'b': 1, 2: 3, [c]: 4, d, e() {}, get f() { return 1 }, ...g }", 'const {a: {b = 1} = {}, ...c} = d', '({}).a = 1', '[a, b] = [b, a]',
+    'for (const [k, v] of Object.entries(x)) {}', 'export_ = 1', 'let x = 1; { let x = 2 }', 'var v; { var v }', 'function f() { return\n1 }', 'x = y\n++z',
+    'if (a) { } else if (b) { } else { }', "(function(){ 'use strict'; return this })()", 'a = async\n(b)', 'async = function(){}', 'get = set = of = 1', 'for (of of of) ;',
+    'for (let = 0; let < 1; let++) ;', 'class A { constructor() {} static constructor() {} }', 'class A { static async() {} get() {} set() {} async() {} }', 'try { } catch { } finally { }',
+    '0x1F + 0o17 + 0b11 + 1e3 + .5 + 5. + 1n', '"\\u{1F600}\\x41\\\nb"', 'a = b ?? (c || d)', 'x = { __proto__: 1, "__proto__"() {} }', 'x = a => ({}).b', 'x = (a, b) => { }',
+    'x = (a = 1, {b}, [c]) => a', 'function f() { new.target }', 'debugger;;;', 'var a\nvar b', 'if (1) ; while (0) ;', 'yield\n: 1',
+]
+MORE_INVALID_JS = [
+    "'use strict'; function f(a, a){}", '(a, a) => 1', 'function f(a, b=1, a){}', 'class A { m(a, a){} }', 'function f(a){ let a; }', 'try{}catch(e){ let e; }', 'try{}catch([e]){var e;}',
+    'const a=1; function a(){}', 'let a; var a', "'use strict'; { function a(){} function a(){} }", '{ function a(){} var a; }', 'for (let i of x) { var i; }',
+    'switch(x){case 1: let a; case 2: let a;}', 'l: l: x', 'break a', 'class A { constructor(){} constructor(){} }', 'class A { constructor(){ super(); } }',
+    'x = {__proto__:1, __proto__:2}', '({a=1})', 'let let = 1', 'a => {}()', 'new.target', 'import.meta', 'return 1', 'if (1) class A{}', 'while(0) function f(){}', 'a ?? b || c',
+    '-1 ** 2', 'a?.b = 1', 'a?.`x`', 'new a?.b()', '1.toString()', '01_0', '0b12', '1.5n', '01n', '`\\01`', 'async function f(){ await }', 'for await (x of y);', 'for (let i = 0 in x);',
+    'for (async of x);', '({ get a(x){} })', '({ set a(){} })', 'class A { static { await; } }', 'class A { #a; #a }', 'a.#b', "class A { 'constructor' = 1 }",
+    'class A { static prototype(){} }', 'class A { get constructor(){} }', 'export default 1', "'use strict'; with(a) b", "'use strict'; delete a", "'use strict'; 010",
+    "'use strict'; eval = 1", "function f(a=1){'use strict'}", 'var = 1', 'throw\n1', 'continue', 'if(a) b else c', 'for(;;) { continue a }', 'var {...{a}} = c', '[...a, b] = c',
+    '(a, b) = c', '[(a=1)] = c', '({(a)} = c)', '([a]) = c', 'async (x)\n => x', 'x\n => x', 'a => {} || b', '(...a, b) => 1', '(,) => 1', 'f(,)', '(a, b,)', '`${}`', "({a, b, 'c'})",
+    '({if})', 'super.x', '({ m: function(){ super.x } })', "'use strict'; interface = 1", 'this = 1', 'const a;', 'let a, a', 'const {a};', 'var a b', 'x = {a b}', 'x = [1 2]', 'for (;;',
+    'if (a', 'function f( {', 'class A { x y }', 'class { }', 'function (a) {}', 'var 1a', 'a b', 'a.1', "x = 'a\nb'", '/a', 'case 1:', 'else', 'x = {,}', 'a = = b', 'try {}', 'do x while',
+    'async function f() { function g() { await x } }', 'function* g() { function h() { yield x } }', "let yield_ = 1; 'use strict'; let x = 08n", "function f() { 'use strict'; 010 }",
+    'class A extends B { m() { super() } }', 'x = (a, b', 'enum = 1', 'var if = 1', '({a: 1, a}) = 2', 'for (const x = 1 of y) ;', 'for (const x;;) ;', 'for (let x, y of z) ;', 'new',
+    'typeof', 'x =', 'x +', '!', '()', '{', '}', ']',
+]
+
+
+def test_more_javascript_by_hand():
+    assert [c for c in MORE_VALID_JS if parse_js.errors(c)] == [] and [c for c in MORE_INVALID_JS if not parse_js.errors(c)] == []
+
+
 def nested(n):
     code = "1"
     for _ in range(n):
