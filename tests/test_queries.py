@@ -30,3 +30,18 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.columns == ["IS_COPY_AS_IMPORT", "PACKAGER_MANAGER_NAME", "n_files"] and df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_only_an_absent_subpackage_is_left_out():
+    import importlib.util
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    gone = run("import sys; sys.modules['siltstone.llm'] = None; import __spark_entry__ as e; print(len(e.queries()))")
+    assert int(gone.stdout) == len(QUERIES), gone.stderr
+    if importlib.util.find_spec("siltstone.llm"):
+        # what the subpackage needs being absent is an error, not fewer queries
+        broken = run("import sys; sys.modules['numpy.fft'] = sys.modules['regex'] = None; import __spark_entry__")
+        assert broken.returncode and "ModuleNotFoundError" in broken.stderr
