@@ -92,3 +92,16 @@ def document_containers(documents: DataFrame, capacity: int = CAPACITY, path: st
     """All documents with a non-empty text, sized in tokens, in containers. The rows are counted first, which reads only the
     files' footers."""
     return containers(count_tokens(documents, "doc_id", "text", path), documents.count(), capacity)
+
+
+def violations(packed: DataFrame, sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row that holds a packing of ``sizes`` (doc_id, n_tokens, ids distinct) to its rules: packed documents, containers of more than
+    ``capacity``, documents split although they fit, and documents whose pieces are not all of their tokens once."""
+    c = F.col
+    full = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(c("n") > capacity).alias("n_overfull"))
+    of = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("packed"), F.count("*").alias("pieces"), F.max(c("token_start") + c("n_tokens")).alias("end"), F.max("n_pieces").alias("n_pieces"))
+    both = sizes.filter(c("n_tokens") > 0).join(of, "doc_id", "full")
+    whole = (c("packed") == c("n_tokens")) & (c("end") == c("n_tokens")) & (c("pieces") == c("n_pieces"))
+    docs = both.agg(F.count("packed").alias("n_documents"), F.count_if((c("n_tokens") <= capacity) & (c("pieces") > 1)).alias("n_split"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("n_incomplete"))
+    # each of the two has one row
+    return docs.withColumn("_k", F.lit(0)).join(full.withColumn("_k", F.lit(0)), "_k").drop("_k")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import bpe, handwritten, lookalike, packing, seen, spans, syntax
+from siltstone.session import materialise
 from siltstone.sources.lake import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +23,16 @@ def _marks(s: SparkSession, d: str) -> DataFrame:
     return handwritten.marks(table(s, d, "file_metadata"), table(s, d, "contents"))
 
 
+def _violations(s: SparkSession, d: str) -> DataFrame:
+    documents = table(s, d, "documents")
+    sizes = materialise(bpe.count_tokens(documents, "doc_id", "text"), "sizes")
+    return packing.violations(materialise(packing.containers(sizes, documents.count()), "packed"), sizes)
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: seen.seen_rows(_store(s, d, False)),
     "p1_report": lambda s, d: seen.report(_store(s, d, True)),
+    "p1_totals": lambda s, d: seen.totals(_store(s, d, True)),
     "p2_found": lambda s, d: spans.shared_spans(table(s, d, "contents")),
     "p2_amounts": lambda s, d: spans.shared_amounts(table(s, d, "contents")),
     "p4_found": lambda s, d: syntax.invalid_revisions(table(s, d, "file_metadata"), table(s, d, "contents")),
@@ -36,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "p8_round_trip": lambda s, d: bpe.decode(bpe.encode(table(s, d, "documents"), "doc_id", "text"), "doc_id", "ids"),
     "p9_containers": lambda s, d: packing.document_containers(table(s, d, "documents")),
     "p9_fill": lambda s, d: packing.fill(packing.document_containers(table(s, d, "documents"))),
+    "p9_violations": _violations,
     "p10_found": lambda s, d: lookalike.lookalike_pairs(table(s, d, "documents")),
     "p10_classes": lambda s, d: lookalike.lookalike_classes(table(s, d, "documents")),
     "p10_forms": lambda s, d: lookalike.consistent_texts(table(s, d, "documents")),

@@ -213,3 +213,9 @@ def report(store: KeyStore) -> DataFrame:
     first can get a wrong answer from a hash, so the first rate is also that among the records not seen before."""
     rows = [(i, m["n_keys"], m["hash_hits"], m["key_hits"], m["false_hits"], m["false_hits"] / max(1, m["n_keys"] - m["met"]), m["wrong"] / max(1, m["n_keys"])) for i, m in enumerate(store.metrics)]
     return store.spark.createDataFrame(rows, "batch int, n_keys long, hash_hits long, key_hits long, false_hits long, hash_wrong_rate double, wrong_rate double")
+
+
+def totals(store: KeyStore) -> DataFrame:
+    """The number of different keys that a store has taken, as its batches add up, and of wrong verified answers: one row."""
+    c = F.col
+    return report(store).agg(F.sum(c("n_keys") - c("key_hits")).alias("n_distinct_keys"), F.round(F.sum(c("n_keys") * c("wrong_rate"))).cast("long").alias("n_wrong"))

@@ -132,3 +132,17 @@ def test_containers(spark):
 def test_equal_sizes_fill_exactly(spark):
     sizes = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1024).cast("long").alias("n_tokens"))
     assert packing.fill(packing.containers(sizes, 4000)).first().used == 1.0
+
+
+def test_violations_are_counted(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 4), (3, 25), (4, 0), (5, 3)], "doc_id long, n_tokens long")
+    good = packing.containers(sizes, 5, 10)
+    assert packing.violations(good, sizes, 10).first().asDict() == {"n_documents": 4, "n_split": 0, "n_incomplete": 0, "n_overfull": 0}
+    rows_ = [
+        (1, 0, 1, 0, 5, "a"), (2, 0, 1, 0, 4, "a"), (5, 0, 2, 0, 2, "a"), (5, 1, 2, 2, 1, "b"),  # 11 in a; 5 split in vain
+        (3, 0, 3, 0, 10, "c"), (3, 1, 3, 10, 10, "d"),  # the last piece of 3 is missing
+    ]
+    bad = spark.createDataFrame(rows_, packing.PACKED)
+    assert packing.violations(bad, sizes, 10).first().asDict() == {"n_documents": 4, "n_split": 1, "n_incomplete": 1, "n_overfull": 1}
+    assert packing.violations(bad.filter("doc_id <> 1"), sizes, 10).first().n_incomplete == 2  # one left out
+    assert packing.violations(good.limit(0), sizes.limit(0), 10).first().asDict() == {"n_documents": 0, "n_split": 0, "n_incomplete": 0, "n_overfull": 0}

@@ -59,6 +59,17 @@ def test_wrong_verified_answers_are_measured(spark, monkeypatch):
     assert any(r.wrong_rate > 0 for r in seen.report(seen.ingest(fm, fm.select("hash_code").limit(9), 2, hash_bits=6)).collect())
 
 
+def test_totals(spark, monkeypatch):
+    fm = spark.createDataFrame([(i, f"k{i % 70}") for i in range(120)], "row_id long, hash_code string")
+    ix = spark.createDataFrame([("K1 ",), ("other",), (None,)], "hash_code string")
+    assert rows(seen.totals(seen.ingest(fm, ix, 3))) == [(71, 0)]
+    # answers by short hashes alone are wrong, and that shows
+    probe = seen.KeyStore.probe
+    monkeypatch.setattr(seen.KeyStore, "probe", lambda self, keys, n: probe(self, keys, n).withColumn("key_hit", F.col("hash_hit")))
+    got = seen.totals(seen.ingest(fm, ix, 3, hash_bits=5)).first()
+    assert got.n_wrong > 0 and got.n_distinct_keys < 71
+
+
 def test_no_rows(spark):
     fm = spark.createDataFrame([], "row_id long, hash_code string")
     store = seen.ingest(fm, fm.select("hash_code"))
